@@ -41,6 +41,23 @@ def spool(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Carried:
+    """A table's columns that an operator doesn't use, kept in one struct so that their names clash with none of its own.
+
+    An input column with the name of a result column gives way to the result.
+    """
+
+    def __init__(self, docs: DataFrame, needs: list[str], makes: list[str]):
+        self.own, self.made = {c.lower() for c in needs}, {c.lower() for c in makes}
+        self.names = [c for c in docs.columns if c.lower() not in self.made]
+        rest = [F.col(f"`{c}`") for c in self.names if c.lower() not in self.own]
+        self.docs = docs.select(*needs, F.struct(*rest, F.lit(0).alias("_")).alias("_rest") if rest else F.struct(F.lit(0).alias("_")).alias("_rest"))
+
+    def columns(self) -> list[Column]:
+        """The input's columns in their order, for the last select."""
+        return [F.col(c) if c.lower() in self.own else F.col("_rest").getField(c).alias(c) for c in self.names]
+
+
 def row_key() -> Column:
     """Tells rows with one doc_id but different texts apart; repeated rows share it."""
     return F.xxhash64("doc_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, row_key
+from .common import BLANKS, LOWER, UPPER, Carried, row_key
 
 
 def line_key(line: Column) -> Column:
@@ -28,12 +28,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     are summed before and after the shuffle, so a line that all documents hold
     is no burden for one task. Texts without a dropped line aren't rebuilt.
     """
+    carried = Carried(docs, ["doc_id", "text"], ["n_lines", "n_dropped"])
+    docs = carried.docs
     keyed = docs.select("doc_id", row_key().alias("_row"), F.explode(F.split("text", "\n", -1)).alias("line"))
     keyed = keyed.where(f"doc_id is not null and char_length(line) >= {min_chars}").withColumn("line", line_key(F.col("line"))).where(f"char_length(line) >= {min_chars}")
     keyed = keyed.select("doc_id", "_row", *(F.xxhash64(F.lit(k), "line").alias(f"h{k}") for k in (1, 2)))
     common = keyed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(f"n >= {min_docs}").select("h1", "h2", "last")
     drops = keyed.join(common, ["h1", "h2"]).where("doc_id < last").groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_key")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    names = [c for c in docs.columns if c != "text"]
     whole = docs.withColumn("_row", row_key()).join(drops, F.expr("doc_id = _doc and _row = _key"), "left").select(*docs.columns, "_drops")
 
     lines = F.split("text", "\n", -1)
@@ -42,8 +43,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     rebuilt = whole.withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
     n_lines = F.coalesce(F.size(lines), F.lit(1)).cast("long")
     return rebuilt.select(
-        *names,
+        "doc_id",
+        "_rest",
         F.coalesce(F.array_join("_kept", "\n"), "text").alias("text"),
         F.when(F.col("text").isNull(), 1).otherwise(n_lines).cast("long").alias("n_lines"),
         F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+    ).select(*carried.columns(), "n_lines", "n_dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, spool
+from .common import WORD, Carried, row_key, spool
 
 
 def n_words(text: Column | str) -> Column:
@@ -49,6 +49,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     rows are equal neighbours in the order. An empty table gives no rows. Other
     columns pass through.
     """
+    made = ["size", "source_size", "target", "repeats", "taken"]
+    carried = Carried(docs, ["doc_id", "source", "text"], made)
+    docs = carried.docs
     hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
     sized = docs.select("doc_id", "source", row_key().alias("_row"), n_words("text").alias("size"), hashed.alias("_h")).where("size > 0")
     sized = spool(sized.withColumn("_step", F.pmod("_h", F.lit(steps)).cast("int")))
@@ -74,4 +77,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     step, here = F.pmod("_h", F.lit(steps)), F.struct("_h", "doc_id", "_row")
     extra = F.coalesce((step < F.col("cut")) | ((step == F.col("cut")) & (here <= F.col("mark"))), F.lit(False))
     repeats = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + extra.cast("long")).cast("long")
-    return joined.withColumn("repeats", repeats).select(*docs.columns, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return joined.withColumn("repeats", repeats).withColumn("taken", F.col("size") * F.col("repeats")).select(*carried.columns(), *made)
