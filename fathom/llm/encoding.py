@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import starmap
 
 import numpy as np
 
@@ -46,10 +45,11 @@ class Encoder:
         ids = list(map(self.cache.get, parts))
         if None in ids:
             new = list({p for p, x in zip(parts, ids, strict=True) if x is None})
-            fresh = dict(zip(new, self._ids(new), strict=True))
-            ids = list(starmap(lambda p, x: x if x is not None else fresh[p], zip(parts, ids, strict=True)))
-            if len(self.cache) < self.limit:
-                self.cache.update(fresh)
+            self.cache.update(zip(new, self._ids(new), strict=True))
+            ids = list(map(self.cache.__getitem__, parts))
+            if len(self.cache) > self.limit:
+                for p in new:
+                    del self.cache[p]
         return b"".join(ids)
 
 
