@@ -11,16 +11,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _FOLD, bytes_of
+from .common import bytes_of
 
 UNKNOWN = "und"
 #: Models of more languages are refused: the model must fit into every worker.
 MOST_LANGUAGES = 512
 
 
+#: ASCII letters in lower case, all other ASCII as blanks, other bytes as they are.
+_LETTER = np.arange(256, dtype=np.uint8)
+_LETTER[:128] = 32
+_LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
+
+
+def words_only(text: np.ndarray) -> np.ndarray:
+    """The letters in lower case, one blank for whatever else stands between them."""
+    x = _LETTER[text]
+    capital = np.flatnonzero((x[1:] >= 0x80) & (x[1:] < 0x9F) & (x[:-1] == 0xC3)) + 1  # of Latin-1, in UTF-8
+    x[capital] += 32
+    keep = x != 32
+    keep[1:] |= x[:-1] != 32
+    return x[keep]
+
+
 def ngrams(text: np.ndarray, dims: int) -> np.ndarray:
-    """How often each hashed three- and four-byte sequence occurs, A-Z in lower case."""
-    x = _FOLD[text].astype(np.uint32)
+    """How often each hashed three- and four-byte sequence of the letters occurs."""
+    x = words_only(text).astype(np.uint32)
     shift = np.uint32(32 - dims.bit_length() + 1)
     three = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16)) if len(x) > 2 else x[:0]
     four = three[:-1] | (x[3:] << np.uint32(24)) if len(x) > 3 else x[:0]
@@ -32,7 +48,7 @@ def ngrams(text: np.ndarray, dims: int) -> np.ndarray:
 
 
 def has_letter(text: np.ndarray) -> bool:
-    folded = _FOLD[text]
+    folded = _LETTER[text]
     if ((folded >= 97) & (folded <= 122)).any():
         return True
     return any(map(str.isalpha, text.tobytes().decode("utf-8", "replace")))
