@@ -144,7 +144,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                         if wanted is not None and doc not in wanted:
                             continue
                         raw = unpack(data[at[k] : at[k] + table[k, 0]], max_output_size=int(table[k, 1]))
-                        if _checksum(raw) != table[k, 2]:
+                        if len(raw) != table[k, 1] or _checksum(raw) != table[k, 2]:
                             raise ValueError(f"wrong checksum: document {doc}")
                         rows.append((shard, part, doc, int(before[k]), len(raw) // width, np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes()))
                     if rows:
