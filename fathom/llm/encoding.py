@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Latin letters and digits. A run of them before a full stop or comma ends a
 #: pre-token in both kinds of tokenizer, as blanks do.
 _PLAIN = r"[0-9A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,])"
+#: One pre-token: letters of one kind after at most one blank.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 #: How a text falls into parts that a tokenizer encodes independently.
 PARTS = {
     "blank before word": re.compile(rf" ?{_PLAIN}| ?\S+|\s+(?!\S)|\s+").findall,
@@ -19,12 +20,20 @@ PARTS = {
 WHOLE = re.compile(r"<\||[\x1c-\x1f]").search
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (x for x in range(256) if x not in printable)
+    return {x: chr(x) for x in printable} | {x: chr(256 + k) for k, x in enumerate(others)}
+
+
 class Encoder:
     """text -> little-endian unsigned 32-bit ids, as the tokenizer alone would give them.
 
     Parts seen before come from a cache of at most `limit` entries; the others
     are encoded by the tokenizer, whose pre-tokenizer never looks across the
-    ends of a part.
+    ends of a part. In byte-level tokenizers a part of letters is one pre-token,
+    which goes to the tokenizer's model at once.
     """
 
     def __init__(self, path: str, parts: str, limit: int = 400_000):
@@ -32,11 +41,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts, self.limit = Tokenizer.from_file(path), PARTS[parts], limit
+        self.letters = byte_letters() if parts == "blank before word" else None
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _learn(self, parts: set[str]) -> None:
+        if self.letters:
+            tokenize, own = self.tokenizer.model.tokenize, [p for p in parts if _LETTERS(p)]
+            for p in own:
+                self.cache[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            parts = parts.difference(own)
+        rest = list(parts)
+        self.cache.update(zip(rest, self._ids(rest), strict=True))
 
     def __call__(self, text: str) -> bytes:
         if WHOLE(text):
@@ -44,8 +63,8 @@ class Encoder:
         parts = self.parts(text)
         ids = list(map(self.cache.get, parts))
         if None in ids:
-            new = list({p for p, x in zip(parts, ids, strict=True) if x is None})
-            self.cache.update(zip(new, self._ids(new), strict=True))
+            new = {p for p, x in zip(parts, ids, strict=True) if x is None}
+            self._learn(new)
             ids = list(map(self.cache.__getitem__, parts))
             if len(self.cache) > self.limit:
                 for p in new:
