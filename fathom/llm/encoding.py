@@ -36,7 +36,7 @@ class Encoder:
     which goes to the tokenizer's model at once.
     """
 
-    def __init__(self, path: str, parts: str, limit: int = 400_000):
+    def __init__(self, path: str, parts: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,8 +75,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, parts: str) -> Encoder:
+def encoder(path: str, parts: str, limit: int) -> Encoder:
     """One per Python worker, kept from task to task."""
     if (path, parts) not in _ENCODERS:
-        _ENCODERS[path, parts] = Encoder(path, parts)
+        _ENCODERS[path, parts] = Encoder(path, parts, limit)
     return _ENCODERS[path, parts]

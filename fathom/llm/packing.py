@@ -93,7 +93,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, parts), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, parts, 250_000), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
