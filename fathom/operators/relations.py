@@ -81,7 +81,7 @@ def header_edges(docs: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     for header, kind in (("Requires", "REQUIRES"), ("Replaces", "REPLACES"), ("Superseded-By", "SUPERSEDED_BY")):
         ids = F.transform(F.regexp_extract_all(F.col("headers")[header], F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
         out.append(docs.select("doc_id", F.posexplode(ids).alias("ord", "n")).select(src.alias("src"), key("doc", "n").alias("dst"), F.lit(kind).alias("type"), F.lit(f"header:{header}").alias("section"), "ord"))
-    versions = F.filter(F.transform(F.split(F.col("headers")["Version"], ","), F.trim), lambda v: v != "")
+    versions = F.filter(F.transform(F.split(F.col("headers")["Version"], ","), lambda v: F.trim(v)), lambda v: v != "")
     out.append(docs.select("doc_id", F.posexplode(versions).alias("ord", "v")).select(src.alias("src"), key("version", "v").alias("dst"), F.lit("TARGETS").alias("type"), F.lit("header:Version").alias("section"), "ord"))
     venue = tx.first_rule(F.col("headers")["Discussions-To"], lexicon.venues)
     out.append(docs.select("doc_id", venue.alias("v")).where("v is not null").select(src.alias("src"), key("venue", "v").alias("dst"), F.lit("DISCUSSED_AT").alias("type"), F.lit("header:Discussions-To").alias("section"), F.lit(0).alias("ord")))
@@ -95,7 +95,7 @@ def decisions(docs: DataFrame, found: DataFrame, lexicon: lx.Lexicon) -> DataFra
     """doc_id, status, outcome, resolution, rationale, paras, sections of each document that was decided on."""
     status = F.coalesce(F.col("headers")["Status"], F.lit("?"))
     decided = docs.select("doc_id", status.alias("status"), F.col("headers")["Resolution"].alias("resolution")).where(~F.col("status").isin(*lexicon.undecided))
-    note = F.array_join(F.filter(F.transform(F.split("own_text", "\n"), F.trim), lambda x: ~x.startswith(".. ")), "\n")
+    note = F.array_join(F.filter(F.transform(F.split("own_text", "\n"), lambda x: F.trim(x)), lambda x: ~x.startswith(".. ")), "\n")
     before = found.where("ord = 0").select("doc_id", "ord", F.lit("(preamble note)").alias("title"), note.alias("text")).where(F.col("text").rlike(r"(?i)\b(?:rejected|withdrawn)\b"))
     own = found.where("level between 1 and 2").where(lx.section_kind(F.array("title"), lexicon.section_kinds) == "decision").select("doc_id", "ord", "title", F.col("own_text").alias("text"))
     parts = before.unionByName(own).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", tx.paragraphs("text").alias("paras")))).alias("x"))
@@ -175,8 +175,8 @@ def lineage_edges(relations: DataFrame) -> DataFrame:
 def citations(found: DataFrame, word: str) -> DataFrame:
     """sections -> src, dst, kind, section, evidence, ord: one row for each mention of another document."""
     cited = found.select("doc_id", "ord", "kind", F.array_join("path", " / ").alias("section"), "own_text", F.explode(tx.references("own_text", word)).alias("dst")).where("dst <> doc_id")
-    every = F.flatten(F.transform(tx.paragraphs("own_text"), tx.sentences))
-    names = lambda s: s.rlike(F.concat(F.lit(r"\b0*"), F.col("dst").cast("string"), F.lit(r"\b")))
+    every = F.flatten(F.transform(tx.paragraphs("own_text"), lambda p: tx.sentences(p)))
+    names = lambda s: F.rlike(s, F.concat(F.lit(r"\b0*"), F.col("dst").cast("string"), F.lit(r"\b")))
     return cited.select(F.col("doc_id").alias("src"), "dst", "kind", "section", F.coalesce(F.get(F.filter(every, names), F.lit(0)), F.lit("")).alias("evidence"), "ord")
 
 
@@ -233,7 +233,7 @@ def ideas(found: DataFrame, meta: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "_slug").orderBy("ord"))
     rows = rows.withColumn("_slug", tx.slug("title")).withColumn("_nth", nth)
     base = F.concat(F.lit("idea:"), F.col("doc_id").cast("string"), F.lit(":"), "_slug")
-    every = F.flatten(F.transform("paras", tx.sentences))
+    every = F.flatten(F.transform("paras", lambda p: tx.sentences(p)))
     reason = F.nullif(F.substring(lx.reasons(F.col("every"), lexicon.reason_cues), 1, 600), F.lit(""))
     return rows.withColumn("every", every).select(
         F.when(F.col("_nth") > 1, F.concat(base, F.lit("-"), F.col("_nth").cast("string"))).otherwise(base).alias("idea_id"),
