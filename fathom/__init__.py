@@ -1 +1 @@
-"""Precedent graphs over large corpora, and the preparation of training text, as Spark jobs."""
+"""Precedent graphs over large corpora of design documents, as Spark jobs."""

@@ -1 +1 @@
-
+"""Column functions: text and lexicon."""

@@ -1 +1 @@
-
+"""Workloads, and the registered queries with their SQL."""

@@ -1 +1 @@
-
+"""Reading and writing corpora and graphs."""

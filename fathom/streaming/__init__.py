@@ -1 +1 @@
-
+"""Nothing streams: graphs are built, and inputs assessed, in batches."""
