@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode_text, pack = encoder(tokenizer, parts, 400_000), zstandard.ZstdCompressor(level=1).compress
+        encode_text, pack = encoder(tokenizer, parts, 250_000), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
