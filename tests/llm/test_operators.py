@@ -221,7 +221,7 @@ def test_perplexity_sums_to_one(spark):
 
     model = train(spark.createDataFrame([(prose(k, 80),) for k in range(20)] + [("Aa",), (None,)], "text string"))
     p = np.exp(-dense(model).astype(np.float64)).reshape(-1, KINDS)
-    assert np.abs(p.sum(1) - 1).max() < 1e-3 and p.min() > 0
+    assert np.abs(p.sum(1) - 1).max() < 5e-3 and p.min() > 0
 
 
 # 5
