@@ -1,4 +1,9 @@
-"""Quality classifier: perplexity under a modified Kneser-Ney model of trusted text."""
+"""Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
+
+Words are an open vocabulary: the counts, contexts and back-off weights of their
+n-grams are tables that grow with the trusted text and stay distributed. The
+n-grams of 64 kinds of bytes below only spell words (the unigrams' base).
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, bytes_of, spool
+from .common import _BLANK, Carried, bytes_of, row_key, spool, word_hashes
 
 #: Symbols of the model: each byte is one of 64 kinds, in BITS bits.
 BITS, ORDER = 6, 4
 KINDS, START = 1 << BITS, 1
+#: Words are 32 bits of their hash; the ids below FIRST stand for no word, a text's start and its end.
+OPEN, CLOSE, FIRST = 1, 2, 3
+FOLDS = 2
 
 
 def _kinds() -> np.ndarray:
@@ -137,25 +146,201 @@ def dense(model: dict) -> np.ndarray:
 _DENSE: dict[str, np.ndarray] = {}
 
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs(doc_id, text, ...) -> docs with n_bytes and nll, the mean -ln P of a byte.
+def table_of(model: dict) -> np.ndarray:
+    """dense(model), made once in each worker; at most one for each fold is held."""
+    if model["id"] not in _DENSE:
+        while len(_DENSE) >= FOLDS:
+            _DENSE.pop(next(iter(_DENSE)))
+        _DENSE[model["id"]] = dense(model)
+    return _DENSE[model["id"]]
+
+
+def spelled(text: np.ndarray, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ids of OPEN, each word and CLOSE; ln of each one's probability by its spelling alone; that of all blanks where they stand.
 
-    nll is null for null and empty texts and without a model. The rows pass
-    through with all their columns.
+    A word's first byte follows a blank at a text's start, so a spelling's
+    probability depends on nothing but the word.
     """
+    blank = np.ones(len(text) + 2, dtype=bool)
+    blank[1:-1] = _BLANK[text]
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    kinds, inside = KIND[text], ~blank[1:-1]
+    offset = np.arange(len(text)) - np.repeat(starts, ends - starts) if inside.all() else np.zeros(len(text), dtype=np.int64)
+    if not inside.all():
+        offset[inside] = np.arange(len(text))[inside] - np.repeat(starts, ends - starts)
+    keys = kinds.copy()
+    for d in range(1, ORDER):
+        before = np.full(len(text), START, dtype=np.uint32)
+        before[d:] = kinds[: max(len(text) - d, 0)]
+        before = np.where(offset >= d, before, np.where(offset == d - 1, np.uint32(KIND[32]), np.uint32(START)))
+        keys |= before << np.uint32(BITS * d)
+    upto = np.zeros(len(text) + 1)
+    np.cumsum(np.where(inside, nll[keys], 0), out=upto[1:])
+    words = np.maximum(word_hashes(text) >> np.uint64(32), np.uint64(FIRST))
+    spelling = np.concatenate([[0.0], upto[starts] - upto[ends], [-np.log(KINDS)]])
+    rest = -float(nll[keys_of(text)[~inside]].sum(dtype=np.float64))
+    return np.concatenate([[np.uint64(OPEN)], words, [np.uint64(CLOSE)]]), spelling, rest
+
+
+def fold_of(doc_id: str = "doc_id") -> Column:
+    """The half of the documents that a document is in."""
+    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
+
+
+def word_counts(texts: DataFrame, spelling: dict[int, dict]) -> DataFrame:
+    """texts(fold, text) -> (fold, key, n, spell): all words (keys below 2**32, with ln P of their spelling) and pairs of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for fold, parts in held.items():
+                ids, spells = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ones, first, n1 = np.unique(ids, return_index=True, return_counts=True)
+                pairs = ids[:-1] << np.uint64(32) | ids[1:]
+                twos, n2 = np.unique(pairs[ids[:-1] != CLOSE], return_counts=True)
+                keys = np.concatenate([ones, twos]).view(np.int64)
+                spell = pa.array(np.concatenate([spells[first], np.zeros(len(twos))]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), fold, dtype=np.int32)), pa.array(keys), pa.array(np.concatenate([n1, n2])), spell], ["fold", "key", "n", "spell"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model is not None and model["id"] not in _DENSE:
-            _DENSE.clear()
-            _DENSE[model["id"]] = dense(model)
         for batch in batches:
-            sizes, means = [], []
-            for text in bytes_of(batch.column("text")):
-                sizes.append(0 if text is None else len(text))
-                means.append(None if model is None or not sizes[-1] else float(_DENSE[model["id"]][keys_of(text)].sum(dtype=np.float64) / sizes[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(means, pa.float64())], [*batch.schema.names, "n_bytes", "nll"])
+            for fold, text in zip(batch.column("fold").to_pylist(), bytes_of(batch.column("text")), strict=True):
+                if text is not None and len(text):
+                    held.setdefault(fold, []).append(spelled(text, table_of(spelling[fold]))[:2])
+                    size += len(text)
+                    if size > 4 << 20:
+                        yield from out()
+                        held.clear()
+                        size = 0
+        yield from out()
+
+    counted = texts.mapInArrow(count, "fold int, key long, n long, spell double")
+    return counted.groupBy("fold", "key").agg(F.sum("n").alias("n"), F.max("spell").alias("spell"))
+
+
+def train_words(texts: DataFrame) -> tuple[dict[int, dict], dict[int, float], DataFrame] | None:
+    """texts(fold, text) of trusted documents -> spelling models, weights of spelling, and a table (fold, key, value), each by fold.
+
+    One model for each fold with text. ln P of a text is the sum of the values of
+    its words and pairs of words (none where the table has none), and of each
+    word's spelling and weight: an n-gram's value is what its own probability adds
+    to that of its suffix, and, for a word, the back-off weight of its context.
+    So the tables need one join with a document's n-grams. Nothing of them is
+    collected.
+    """
+    spelling = {f: m for f in range(FOLDS) if (m := train(texts.where(F.col("fold") == f).select("text")))}
+    if not spelling:
+        return None
+    counts = spool(word_counts(texts, spelling))
+    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(2**32 - 1))
+    pairs = counts.where(first != 0).select("fold", "key", first.alias("a"), second.alias("b"), "n")
+    follows = pairs.groupBy("fold", "b").agg(F.count("*").alias("n"))
+
+    def cut(table: DataFrame) -> Column:
+        """The discount of n, by fold."""
+        out = F.lit(None).cast("double")
+        for f in spelling:
+            d = discounts(table.where(F.col("fold") == f))
+            out = F.when(F.col("fold") == f, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(out)
+        return out
+
+    follows = spool(follows)
+    cut1, cut2 = cut(follows), cut(pairs)
+    totals = {r.fold: r for r in follows.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum(cut1) / F.sum("n")).alias("rest")).collect()}  # a row for each fold
+    of = lambda k: F.element_at(F.create_map(*(F.lit(x) for f, r in totals.items() for x in (f, float(r[k])))), F.col("fold"))
+    contexts = pairs.groupBy("fold", F.col("a").alias("word")).agg(F.sum("n").alias("total"), (F.sum(cut2) / F.sum("n")).alias("rest"))
+    shares = follows.select("fold", F.col("b").alias("word"), ((F.col("n") - cut1) / of("n")).alias("own"))
+    words = counts.where(first == 0).select("fold", F.col("key").alias("word"), "spell").join(shares, ["fold", "word"], "left").join(contexts, ["fold", "word"], "left")
+    base = of("rest") * F.exp("spell")
+    words = spool(words.withColumn("p", F.coalesce("own", F.lit(0.0)) + base).withColumn("gain", F.when(F.col("own").isNull(), 0.0).otherwise(F.log("p") - F.log(of("rest")) - F.col("spell"))))
+    ones = words.select("fold", F.col("word").alias("key"), (F.col("gain") + F.coalesce(F.log("rest"), F.lit(0.0))).alias("value"))
+    found = pairs.join(words.select("fold", F.col("word").alias("b"), "p"), ["fold", "b"]).join(words.select("fold", F.col("word").alias("a"), "total", "rest"), ["fold", "a"])
+    twos = found.select("fold", "key", F.log((F.col("n") - cut2) / (F.col("total") * F.col("rest") * F.col("p")) + 1).alias("value"))
+    return spelling, {f: float(np.log(r.rest)) for f, r in totals.items()}, spool(ones.union(twos))
+
+
+def scored(docs: DataFrame, model: tuple | None) -> DataFrame:
+    """docs(doc_id, text) -> (row, nll): -ln P of each text, by row_key(), under the model of the other fold.
+
+    Each task lists the documents of an n-gram, by number, once for some
+    megabytes of text; the lists are joined with the model's table by n-gram,
+    and each task of the join sums by document before it deals the sums out.
+    Null and empty texts, and folds without a model, are left out.
+    """
+    if model is None:
+        return docs.select(row_key().alias("row"), F.lit(None).cast("double").alias("nll")).where("false")
+    spelling, weights, values = model
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, chunk, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[int, list] = {}
+        heads: list[tuple] = []
+        schema = pa.schema([("doc", pa.int64()), ("fold", pa.int32()), ("key", pa.int64()), ("docs", pa.binary()), ("base", pa.float64()), ("row", pa.int64())])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            place = task << 40 | chunk << 16
+            docs_, bases, rows_ = (np.array(x) for x in zip(*heads, strict=True))
+            docs_ = docs_ + place
+            n = len(docs_)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(np.full(n, -1, np.int32)), pa.array(docs_), pa.nulls(n, pa.binary()), pa.array(bases), pa.array(rows_)], schema=schema)
+            for fold, parts in held.items():
+                keys = np.concatenate([x for ids, _ in parts for x in (ids, ids[:-1] << np.uint64(32) | ids[1:])])
+                which = np.repeat(np.array([d for _, d in parts], dtype=np.uint16), [2 * len(ids) - 1 for ids, _ in parts])
+                order = np.argsort(keys, kind="stable")
+                keys, which = keys[order], which[order]
+                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                ends = (np.append(at, len(keys)) * 2).astype(np.int32)
+                n = len(at)
+                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(which.tobytes())])
+                made = pa.RecordBatch.from_arrays([pa.array(np.full(n, place)), pa.array(np.full(n, fold, np.int32)), pa.array(keys[at].view(np.int64)), lists, pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64())], schema=schema)
+                for k in range(0, n, 20_000):
+                    yield made.slice(k, 20_000)
+
+        for batch in batches:
+            for fold, row, text in zip(batch.column("fold").to_pylist(), batch.column("row").to_pylist(), bytes_of(batch.column("text")), strict=True):
+                if text is None or not len(text) or fold not in spelling:
+                    continue
+                ids, spells, rest = spelled(text, table_of(spelling[fold]))
+                held.setdefault(fold, []).append((ids, len(heads)))
+                heads.append((len(heads), float(spells.sum()) + rest + weights[fold] * (len(ids) - 1), row))
+                size += len(text)
+                if size > 4 << 20 or len(heads) == 1 << 16:
+                    yield from out()
+                    held, heads, size, chunk = {}, [], 0, chunk + 1
+        if heads:
+            yield from out()
+
+    def sum_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, size = ["doc", "v", "row"], [], 0
+
+        def out() -> pa.RecordBatch:
+            docs_, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, where = np.unique(docs_, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(where, v)), pa.nulls(len(found), pa.int64())], names)
+
+        for batch in batches:
+            heads = batch.filter(batch.column("row").is_valid())
+            if heads.num_rows:
+                yield pa.RecordBatch.from_arrays([heads.column(c) for c in ("doc", "base", "row")], names)
+            hits = batch.filter(batch.column("value").is_valid())
+            if hits.num_rows:
+                lists = list(bytes_of(hits.column("docs")))
+                n = np.array([len(x) // 2 for x in lists])
+                held.append((np.repeat(hits.column("doc").to_numpy(), n) + np.concatenate(lists).view(np.uint16), np.repeat(hits.column("value").to_numpy(), n)))
+                size += int(n.sum())
+                if size > 1 << 21:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    return docs.mapInArrow(score, docs.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("nll")).schema)
+    given = docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text")
+    lists = given.mapInArrow(list_, "doc long, fold int, key long, docs binary, base double, row long")
+    joined = lists.join(values.hint("merge"), ["fold", "key"], "left").where("value is not null or row is not null").select("doc", "docs", "base", "row", "value")
+    sums = joined.mapInArrow(sum_, "doc long, v double, row long").groupBy("doc").agg(F.sum("v").alias("v"), F.max("row").alias("row"))
+    return sums.groupBy("row").agg(F.round(-F.avg("v"), 6).alias("nll"))  # repeated rows have one key and one sum
 
 
 def thresholds(scores: DataFrame, quantile: float, step: float, least: int) -> DataFrame:
@@ -175,7 +360,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, step: float = 1e-3, least: int = 20, prior: int = 200) -> DataFrame:
     """docs(doc_id, lang, text, ...), labels(doc_id, quality, toxic) -> docs with perplexity, threshold, kept.
 
-    The model is trained on all documents whose labels are good and not toxic.
+    Documents whose labels are good and not toxic are trusted. They are dealt into
+    two halves, a model is trained on each, and every document is scored by that of
+    the half it isn't in: trusted ones, which the thresholds come from, as all others.
     A language's threshold is the quantile of their perplexities in it, times
     slack; languages with fewer than `least` such documents have that of all
     languages. Documents above it go. Perplexity is per byte; so that chance
@@ -189,9 +376,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     docs = carried.docs
     # trusted ids grow with the labels: they are never broadcast, and texts are dealt out by doc_id once, for training
     ids = spool(trusted_ids(labels))
-    model = train(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"))
-    every = spool(scored(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "n_bytes", "nll"))
-    scores = spool(every.join(ids.hint("merge"), "doc_id", "left_semi"))
+    texts = spool(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
+    found = spool(scored(docs.select("doc_id", "text"), train_words(texts)).withColumnRenamed("row", "_row"))
+    docs = docs.withColumn("_row", row_key()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    with_scores = lambda df: df.join(found.hint("merge"), "_row", "left").withColumn("nll", F.col("nll") / F.col("n_bytes"))
+    scores = spool(with_scores(docs.select("doc_id", "lang", "_row", "n_bytes").join(ids.hint("merge"), "doc_id", "left_semi")).select("lang", "n_bytes", "nll"))
 
     def limits(scores: DataFrame, quantile: float, name: str) -> tuple[DataFrame, Column]:
         """Each language's quantile, and that of all languages."""
@@ -206,6 +395,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
         return df.join(middle, F.expr("lang <=> _middle"), "left").withColumn("nll", (F.col("nll") * F.col("n_bytes") + mean * prior) / (F.col("n_bytes") + prior)).drop("_middle", "middle")
 
     top, any_top = limits(smoothed(scores), quantile, "threshold")
-    judged = smoothed(scored(docs, model)).join(top, F.expr("lang <=> _threshold"), "left").withColumn("threshold", F.exp(F.coalesce("threshold", any_top)) * slack).withColumn("perplexity", F.exp("nll"))
+    judged = smoothed(with_scores(docs)).join(top, F.expr("lang <=> _threshold"), "left").withColumn("threshold", F.exp(F.coalesce("threshold", any_top)) * slack).withColumn("perplexity", F.exp("nll"))
     kept: Column = (F.col("n_bytes") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return judged.withColumn("kept", kept).select(*carried.columns(), *made)
