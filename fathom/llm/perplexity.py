@@ -343,12 +343,22 @@ def scored(docs: DataFrame, model: tuple | None) -> DataFrame:
     return sums.groupBy("row").agg(F.round(-F.avg("v"), 6).alias("nll"))  # repeated rows have one key and one sum
 
 
-def thresholds(scores: DataFrame, quantile: float, step: float, least: int) -> DataFrame:
-    """scores(lang, nll) of trusted documents -> lang, threshold: the quantile per language, from counts in steps."""
-    counts = scores.where("nll is not null").groupBy("lang", F.ceil(F.col("nll") / step).alias("at")).count()
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("at"))
-    total = F.sum("count").over(Window.partitionBy("lang"))
-    return counts.withColumn("upto", upto).withColumn("total", total).where((F.col("upto") >= quantile * F.col("total")) & (F.col("total") >= least)).groupBy("lang").agg((F.min("at") * step).alias("threshold"))
+def thresholds(scores: DataFrame, by: list[str], quantile: float, step: float, least: int) -> DataFrame:
+    """scores(nll, ...) of trusted documents -> by, threshold: the quantile of each group with `least` of them, from counts in steps."""
+    counts = scores.where("nll is not null").groupBy(*by, F.ceil(F.col("nll") / step).alias("at")).count()
+    upto = F.sum("count").over(Window.partitionBy(*by).orderBy("at"))
+    total = F.sum("count").over(Window.partitionBy(*by))
+    return counts.withColumn("upto", upto).withColumn("total", total).where((F.col("upto") >= quantile * F.col("total")) & (F.col("total") >= least)).groupBy(*by).agg((F.min("at") * step).alias("threshold"))
+
+
+def length_class(n_bytes: Column) -> Column:
+    """Texts of one class are less than twice as long as each other."""
+    return F.floor(F.log2(F.greatest(n_bytes, F.lit(1)))).cast("int")
+
+
+def wide_class(size: Column) -> Column:
+    """Classes by factors of four; all texts below 64 bytes are one."""
+    return F.greatest(F.floor(size / 2), F.lit(2)).cast("int")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -357,17 +367,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, step: float = 1e-3, least: int = 20, prior: int = 200) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, step: float = 1e-3, least: int = 20) -> DataFrame:
     """docs(doc_id, lang, text, ...), labels(doc_id, quality, toxic) -> docs with perplexity, threshold, kept.
 
     Documents whose labels are good and not toxic are trusted. They are dealt into
     two halves, a model is trained on each, and every document is scored by that of
     the half it isn't in: trusted ones, which the thresholds come from, as all others.
-    A language's threshold is the quantile of their perplexities in it, times
-    slack; languages with fewer than `least` such documents have that of all
-    languages. Documents above it go. Perplexity is per byte; so that chance
-    doesn't decide on short texts, it counts `prior` more bytes of the
-    language's median. Null and empty texts have none and go; without trusted
+    A threshold is the quantile of the trusted documents' perplexities, times slack,
+    in a language and a class of length (by doublings), since short texts vary more.
+    Where fewer than `least` are trusted, that of all languages' texts of the class
+    stands in, then of a wider class, then the language's of any length, then that
+    of all. Documents above
+    it go. Perplexity is per byte. Null and empty texts have none and go; without trusted
     text all others stay. Null languages are one of their own, repeated rows are
     judged alike, other columns pass through.
     """
@@ -380,21 +391,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     found = spool(scored(docs.select("doc_id", "text"), train_words(texts)).withColumnRenamed("row", "_row"))
     docs = docs.withColumn("_row", row_key()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     with_scores = lambda df: df.join(found.hint("merge"), "_row", "left").withColumn("nll", F.col("nll") / F.col("n_bytes"))
-    scores = spool(with_scores(docs.select("doc_id", "lang", "_row", "n_bytes").join(ids.hint("merge"), "doc_id", "left_semi")).select("lang", "n_bytes", "nll"))
-
-    def limits(scores: DataFrame, quantile: float, name: str) -> tuple[DataFrame, Column]:
-        """Each language's quantile, and that of all languages."""
-        pooled = thresholds(scores.withColumn("lang", F.lit("")), quantile, step, 1).first()
-        own = spool(thresholds(scores, quantile, step, least).select(F.col("lang").alias(f"_{name}"), F.col("threshold").alias(name)))
-        return own, F.lit(pooled.threshold if pooled else None).cast("double")
-
-    middle, any_middle = limits(scores, 0.5, "middle")
-
-    def smoothed(df: DataFrame) -> DataFrame:
-        mean = F.coalesce("middle", any_middle)
-        return df.join(middle, F.expr("lang <=> _middle"), "left").withColumn("nll", (F.col("nll") * F.col("n_bytes") + mean * prior) / (F.col("n_bytes") + prior)).drop("_middle", "middle")
-
-    top, any_top = limits(smoothed(scores), quantile, "threshold")
-    judged = smoothed(with_scores(docs)).join(top, F.expr("lang <=> _threshold"), "left").withColumn("threshold", F.exp(F.coalesce("threshold", any_top)) * slack).withColumn("perplexity", F.exp("nll"))
+    scores = spool(with_scores(docs.select("doc_id", "lang", "_row", "n_bytes").join(ids.hint("merge"), "doc_id", "left_semi")).select("lang", length_class(F.col("n_bytes")).alias("_size"), "nll"))
+
+    def limited(df: DataFrame) -> DataFrame:
+        """With each row's threshold, of the first group that has one."""
+        df, found = df.withColumn("_size", length_class(F.col("n_bytes"))).withColumn("_wide", wide_class(F.col("_size"))), []
+        for k, by in enumerate((["lang", "_size"], ["_size"], ["_wide"], ["lang"])):
+            table = spool(thresholds(scores.withColumn("_wide", wide_class(F.col("_size"))), by, quantile, step, least)).select(*(F.col(c).alias(f"_{k}{c}") for c in by), F.col("threshold").alias(f"_top{k}"))
+            df = df.join(table, F.expr(" and ".join(f"{c} <=> _{k}{c}" for c in by)), "left")
+            found.append(F.col(f"_top{k}"))
+        pooled = thresholds(scores.withColumn("_all", F.lit(0)), ["_all"], quantile, step, 1).first()
+        return df.withColumn("threshold", F.coalesce(*found, F.lit(pooled.threshold if pooled else None).cast("double")))
+
+    judged = limited(with_scores(docs)).withColumn("threshold", F.exp("threshold") * slack).withColumn("perplexity", F.exp("nll"))
     kept: Column = (F.col("n_bytes") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return judged.withColumn("kept", kept).select(*carried.columns(), *made)

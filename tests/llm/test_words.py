@@ -8,9 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathom.llm.perplexity import FOLDS, dense, discounts, fold_of, scored, spelled, train_words
+from fathom.llm.perplexity import FOLDS, classify, dense, discounts, fold_of, scored, spelled, train_words
 
-from .test_operators import prose
+from .test_operators import SCHEMA, labelled, prose
 
 
 def plain(spark, texts, nll):
@@ -62,3 +62,13 @@ def test_words_are_joined(spark):
     for k in {r.doc_id for r in turned.collect()}:
         a, b = (nll[r.row] for r in turned.where(F.col("doc_id") == k).orderBy(F.col("text") != " ".join(words)).select(F.xxhash64("doc_id", "text").alias("row")).collect())
         assert a < b
+
+
+def test_short_texts_have_their_own_limits(spark):
+    """Short junk goes as long junk does; short good texts stay."""
+    junk = lambda k, n: " ".join(w[::-1].upper() + "q" for w in prose(k, n).split())
+    good = [(k, prose(k, 150 if k % 2 else 4), "en", "a", 1) for k in range(160)]
+    bad = [(1000 + k, junk(k, 4 if k % 2 else 60), "en", "a", 1) for k in range(20)]
+    kept = {r.doc_id: r.kept for r in classify(spark.createDataFrame(good + bad, SCHEMA), labelled(spark, good[:120], lambda r: 1)).collect()}
+    assert not any(kept[r[0]] for r in bad)
+    assert all(kept[r[0]] for r in good[:120]) and sum(kept[r[0]] for r in good[120:]) >= 38
