@@ -87,6 +87,9 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 400
     """
     train = train.where("lang is not null and text is not null")
 
+    if train.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims + 1, dtype=np.int64), 0
         for batch in batches:
@@ -105,7 +108,7 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 400
     idf = np.log((1 + counts[dims]) / (1 + counts[:dims])) + 1
 
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= sample).select("doc_id", "lang").limit(sample * MOST_LANGUAGES)
+    chosen = train.select("doc_id", "lang").withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= sample).select("doc_id", "lang")
     texts = train.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), "text")
     chosen = texts.join(F.broadcast(chosen), F.expr("doc_id <=> _doc and lang = _lang")).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
 
@@ -117,9 +120,7 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 400
         radii = [1 - np.quantile(near[near.argmax(1) == k, k], 0.01) if (near.argmax(1) == k).any() else 0.0 for k in range(len(found))]
         return pd.DataFrame({"lang": key[0], "centre": [c.tobytes() for c in found], "radius": radii})
 
-    rows = chosen.groupBy("lang").applyInPandas(centres, "lang string, centre binary, radius double").orderBy("lang", "centre").limit(MOST_LANGUAGES * clusters + 1).collect()
-    if len(rows) > MOST_LANGUAGES * clusters:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = chosen.groupBy("lang").applyInPandas(centres, "lang string, centre binary, radius double").orderBy("lang", "centre").collect()  # at most MOST_LANGUAGES * clusters rows
     return {"langs": [r.lang for r in rows], "idf": idf, "centres": np.array([np.frombuffer(r.centre, dtype=np.float32) for r in rows]), "radii": np.array([r.radius for r in rows])}
 
 
