@@ -42,8 +42,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     reached: repeats says how often, taken how many words.
 
     That point is found without sorting a source: the words of each of `steps`
-    ranges of a document's seeded hash are summed, and only the range in which
-    the target falls is put in order. Sources miss their target by one document
+    ranges (more for very many documents) of a document's seeded hash are summed,
+    and only the range in which the target falls is put in order. Sources miss their target by one document
     at most, whatever the size. The order depends on doc_id and text alone, so
     reruns agree. Null or empty texts have no words and are never taken; equal
     rows are equal neighbours in the order. An empty table gives no rows. Other
@@ -54,7 +54,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     docs = carried.docs
     hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
     sized = docs.select("doc_id", "source", row_key().alias("_row"), n_words("text").alias("size"), hashed.alias("_h")).where("size > 0")
-    sized = spool(sized.withColumn("_step", F.pmod("_h", F.lit(steps)).cast("int")))
+    sized = spool(sized)
+    steps = max(steps, sized.count() >> 17)
+    sized = sized.withColumn("_step", F.pmod("_h", F.lit(steps)).cast("int"))
     per_step = spool(sized.groupBy("source", "_step").agg(F.sum("size").alias("words")))
     every = docs.select("source").distinct()
     sums = per_step.groupBy(F.col("source").alias("s")).agg(F.sum("words").alias("words"))

@@ -76,7 +76,7 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, parts: str = "blanks dropped", deal: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, mode: str = "blanks dropped", deal: int = 256) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each document is its ids and the end id; null or empty texts are the end id
@@ -88,16 +88,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
     Only the number of pieces of each length, at most `capacity` numbers,
     reaches the driver, which plans on them. A piece finds its place by its
-    rank among those of its length. Ranks are counted in `deal` hashed ranges
-    of each length, so that a length that many documents have is spread out.
+    rank among those of its length. Ranks are counted in hashed ranges of each
+    length, at least `deal` and more for many pieces, so that a length that many
+    documents have is spread out.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, parts, 250_000), np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(tokenizer, mode)
         for batch in batches:
             which, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = encode(text.as_py() or "") + end
+            for k, own in enumerate(encode(batch.column("text"))):
+                ids = np.append(own, np.uint32(end_id)).tobytes()
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     which.append(k)
@@ -109,11 +110,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_row").take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "_row", "piece", "start", "length", "ids_crc32"])
 
     cut = docs.select("doc_id", "text", row_key().alias("_row")).mapInArrow(pieces, "doc_id long, _row long, piece int, start long, length long, ids_crc32 long")
-    cut = spool(cut.withColumn("_deal", F.pmod(F.xxhash64("doc_id", "_row", "piece"), F.lit(deal)).cast("int")))
-    dealt = cut.groupBy("length", "_deal").count()
+    cut = spool(cut)
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in dealt.groupBy("length").agg(F.sum("count")).collect():  # at most `capacity` rows
+    for size, n in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[size] = n
+    ranges = max(deal, -(-int(counts.max()) >> 18))
+    cut = cut.withColumn("_deal", F.pmod(F.xxhash64("doc_id", "_row", "piece"), F.lit(ranges)).cast("int"))
+    dealt = cut.groupBy("length", "_deal").count()
     steps = plan(counts, capacity)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
     firsts = (steps[:, 0] << 44) + steps[:, 1]

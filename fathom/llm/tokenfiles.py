@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, shared_path
+from .common import row_key, shared_path, spool, tidy
 from .encoding import encoder
 
 #: Fixed values of the public format.
@@ -54,19 +54,22 @@ def seek(data: memoryview) -> tuple[int, int, int, np.ndarray, np.ndarray, np.nd
     return width, shard, part, np.frombuffer(data[8 + struct.calcsize("<4sBqqI") : int(at[1])], dtype="<i8"), table[1:], at[1:]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: str = "blank before word", width: int = 2, file_bytes: int = 8 << 20) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mode: str = "blank before word", width: int = 2, file_bytes: int = 8 << 20) -> str:
     """Encode every text of docs(doc_id, text) and write token files to path, in ascending doc_id order.
 
     Null and empty texts hold the end id only. Null doc_ids come first; equal
     doc_ids stand in the order of a hash of their texts; repeated rows are
-    written again. Other columns are ignored. width: bytes of an id in a file,
-    2 for vocabularies of up to 65,536 ids, else 4.
+    written again. Other columns are ignored. An empty table gives no files.
+    width: bytes of an id in a file, 2 for ids below 65,536, else 4; an id that
+    doesn't fit is an error.
 
     Documents are encoded and compressed where they are read, so what is
     shuffled is the frames. A shard is a range of doc_ids; its files hold at
     most about file_bytes each. Spark's own writer makes the files, so lost
     tasks leave none behind: a row is a file, and the writer's end of line is
-    the last three bytes of the footer, which form one character of UTF-8.
+    the last three bytes of the footer, which form one character of UTF-8. The
+    files are in path; path/_index has one row for each, with its place in
+    the order, its numbers of ids, and its first and last doc_id.
     """
     shards = max(1, docs.rdd.getNumPartitions())
     bounds = docs.select("doc_id").stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
@@ -74,13 +77,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode_text, pack = encoder(tokenizer, parts, 250_000), zstandard.ZstdCompressor(level=1).compress
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode_texts, pack = encoder(tokenizer, mode), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column("doc_id")
             frames, sizes, sums = [], [], []
-            for text in batch.column("text"):
-                raw = np.frombuffer(encode_text(text.as_py() or "") + end, dtype="<u4").astype(f"<u{width}").tobytes()
+            for own in encode_texts(batch.column("text")):
+                own = np.append(own, np.uint32(end_id))
+                if width < 4 and own.max() >> (8 * width):
+                    raise ValueError(f"id {own.max()} doesn't fit into {width} bytes")
+                raw = own.astype(f"<u{width}").tobytes()
                 frames.append(pack(raw))
                 sizes.append(len(raw))
                 sums.append(_checksum(raw))
@@ -108,25 +113,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     dealt = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "_row")
     payloads = dealt.mapInArrow(files, "value binary").select(F.col("value").cast("string"))
     foot = struct.pack("<I", FOOT_MAGIC)[1:].decode()
-    payloads.write.option("lineSep", foot).option("maxRecordsPerFile", 1).text(path)
+    with tidy(docs.sparkSession):
+        payloads.write.option("lineSep", foot).option("maxRecordsPerFile", 1).text(path)
+    index_of(docs.sparkSession.read.format("binaryFile").load(path)).write.parquet(f"{path}/_index")
     return path
 
 
+def index_of(files: DataFrame) -> DataFrame:
+    """binaryFile rows -> path, shard, part, tokens, first_id, last_id; from heads and seek tables, nothing is decompressed."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, x in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                width, shard, part, ids, table, _ = seek(memoryview(x.as_buffer()))
+                known = ids[ids != NO_ID]
+                ends = [int(known.min()), int(known.max())] if len(known) else [None, None]
+                row = [path, shard, part, int(table[:, 1].sum(dtype=np.int64)) // width, *ends]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), *[pa.int64()] * 5), strict=True)], names)
+
+    names = ["path", "shard", "part", "tokens", "first_id", "last_id"]
+    return files.where("length > 0").select("path", "content").mapInArrow(look, "path string, shard long, part long, tokens long, first_id long, last_id long")
+
+
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """Token files -> doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
 
     start: ids of all documents before it. With doc_ids, a bounded list, only
-    these documents' frames are decompressed; start stays the same. Checksums
-    of all frames that are read are verified.
+    the files that may hold them are read, and only their frames decompressed;
+    start stays the same. Checksums of all frames that are decompressed are verified.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    wanted = None if doc_ids is None else set(doc_ids)
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("content"):
-                width, shard, part, _, table, _ = seek(memoryview(x.as_buffer()))
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "tokens": [int(table[:, 1].sum(dtype=np.int64)) // width]})
+    index = spark.read.parquet(f"{path}/_index")
+    # one row for each shard, in one task: a shard is a partition's worth of documents
+    shards = index.groupBy("shard").agg(F.sum("tokens").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = index.withColumn("before", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(shards.select("shard", "base"), "shard")
+    # a small table, so Spark may send it to all tasks: if not, it joins by shuffle
+    starts = spool(starts.select("path", "shard", "part", (F.col("base") + F.col("before")).alias("first"), "first_id", "last_id"))
+    wanted, places = None if doc_ids is None else set(doc_ids), [path]
+    if wanted is not None:
+        ids = spark.createDataFrame([(k,) for k in wanted if k is not None], "id long")
+        hits = starts.join(ids, F.expr("id between first_id and last_id"), "left_semi")
+        if None in wanted:
+            hits = hits.union(starts.where("first_id is null or shard = 0")).distinct()
+        places = [r.path for r in hits.select("path").collect()]  # a few for each id asked for
+        if not places:
+            return starts.select(F.lit(None).cast("long").alias("doc_id"), F.col("first").alias("start"), F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).where("false")
+    files = spark.read.format("binaryFile").load(places).where("length > 0").select("content")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -152,11 +184,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                         kinds = (pa.int64(),) * 5 + (pa.binary(),)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "part", "doc_id", "before", "n_tokens", "ids"])
 
-    per_file = files.mapInArrow(totals, "shard long, part long, tokens long")
-    in_order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_file.select("shard", "part", F.coalesce(F.sum("tokens").over(in_order), F.lit(0)).alias("first"))
     found = files.mapInArrow(documents, "shard long, part long, doc_id long, before long, n_tokens long, ids binary")
-    return found.join(starts, ["shard", "part"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return found.join(starts.select("shard", "part", "first"), ["shard", "part"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
