@@ -1,14 +1,13 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-Words are an open vocabulary: the counts, contexts and back-off weights of their
-n-grams are tables that grow with the trusted text and stay distributed. The
-n-grams of 64 kinds of bytes below only spell words (the unigrams' base).
+The model is of n-grams of characters. Their counts, contexts, back-off weights
+and probabilities are tables that grow with the trusted text and stay
+distributed. Documents are scored by joining their n-grams with them.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,331 +15,334 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BLANK, Carried, bytes_of, row_key, spool, word_hashes
+from .common import Carried, bytes_of, discard, row_key, spool
 
-#: Symbols of the model: each byte is one of 64 kinds, in BITS bits.
-BITS, ORDER = 6, 4
-KINDS, START = 1 << BITS, 1
-#: Words are 32 bits of their hash; the ids below FIRST stand for no word, a text's start and its end.
-OPEN, CLOSE, FIRST = 1, 2, 3
+#: An n-gram is up to ORDER symbols of BITS bits, the last one lowest.
+ORDER, BITS = 5, 12
+KINDS = 1 << BITS
+#: Symbols that stand for no character: before a text, and its end.
+START, CLOSE, FIRST = 0, 1, 2
 FOLDS = 2
+#: What a task works on at once: symbols, and bytes and texts of a chunk.
+_PIECE, _CHUNK, _TEXTS = 1 << 21, 16 << 20, 1 << 16
 
 
-def _kinds() -> np.ndarray:
-    kind = np.full(256, 59, dtype=np.uint32)  # controls and the rest
-    kind[[9, 11, 12, 13, 32]], kind[10] = 0, 1
-    kind[48:58] = 2
-    kind[97:123], kind[65:91] = np.arange(3, 29), np.arange(29, 55)
-    kind[46], kind[44] = 55, 56
-    kind[list(b"!?;:'\"-()")] = 57
-    kind[list(b"#*$%&|<>@^~_+=/\\{}[]`")] = 58
-    kind[0x80:0xA0], kind[0xA0:0xC0], kind[0xC0:0xE0], kind[0xE0:] = 60, 61, 62, 63
-    return kind
+def mask(m: int) -> int:
+    return (1 << BITS * m) - 1
 
 
-KIND = _kinds()
+def symbols(text: np.ndarray) -> np.ndarray:
+    """ORDER times START, a symbol for each character, CLOSE. Code points from 2,046 on share 2,048 symbols by a hash."""
+    codes = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+    out = np.full(len(codes) + ORDER + 1, START, dtype=np.uint64)
+    out[ORDER:-1] = np.where(codes < 2046, codes + np.uint32(FIRST), 2048 + ((codes * np.uint32(0x9E3779B1)) >> np.uint32(21)))
+    out[-1] = CLOSE
+    return out
 
 
-def keys_of(text: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, packed into one number; START before the text."""
-    x = np.concatenate([np.full(ORDER - 1, START, dtype=np.uint32), KIND[text]])
-    n, keys = len(text), np.zeros(len(text), dtype=np.uint32)
+def grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """texts as symbols() -> the n-gram of the highest order that ends at each symbol from the last START on, and the number of its text."""
+    s = np.concatenate(texts)
+    n = len(s) - ORDER + 1
+    keys = np.zeros(n, dtype=np.uint64)
     for k in range(ORDER):
-        keys = (keys << np.uint32(BITS)) | x[k : k + n]
-    return keys
+        keys = (keys << np.uint64(BITS)) | s[k : k + n]
+    sizes = np.array([len(x) for x in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)[ORDER - 1 :]
+    inside = np.arange(n) + ORDER - 1 - (np.cumsum(sizes) - sizes)[owner] >= ORDER - 1
+    return keys[inside], owner[inside]
+
+
+def by_pieces(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Symbols of texts, some millions at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(symbols(text))
+        size += len(held[-1])
+        if size > _PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """docs(text) -> (key, n): all n-grams of the highest order, summed in each task before the shuffle."""
+def fold_of(doc_id: str = "doc_id") -> Column:
+    """The half of the documents that a document is in."""
+    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+# ------------------------------------------------------------- the model
 
-        for batch in batches:
-            for text in bytes_of(batch.column("text")):
-                if text is not None and len(text):
-                    held.append(keys_of(text))
-                    size += len(text)
-                    if size > 4 << 20:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def counted(texts: DataFrame) -> DataFrame:
+    """texts(fold, text) -> (fold, key, n): all n-grams of the highest order, summed in each task before the shuffle."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS)]
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
+        def summed(fold: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held[fold], strict=True))
+            found, where = np.unique(keys, return_inverse=True)
+            return found, np.bincount(where, n).astype(np.int64)
+
+        def out(fold: int) -> pa.RecordBatch:
+            keys, n = summed(fold)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["fold", "key", "n"])
+
+        for batch in batches:
+            folds = batch.column("fold").to_numpy()
+            every = list(bytes_of(batch.column("text")))
+            for fold in range(FOLDS):
+                for piece in by_pieces(every[k] for k in np.flatnonzero(folds == fold) if every[k] is not None and len(every[k])):
+                    keys = grams(piece)[0]
+                    held[fold].append(np.unique(keys[keys != 0], return_counts=True))  # 0: nothing but START
+                    if sum(len(k) for k, _ in held[fold]) > 1 << 21:
+                        held[fold] = [summed(fold)]
+                        if len(held[fold][0][0]) > 1 << 20:
+                            yield out(fold)
+                            held[fold] = []
+        for fold in range(FOLDS):
+            if held[fold]:
+                yield out(fold)
+
+    return texts.mapInArrow(count, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney, from how many n-grams occur once to four times.
 
     Where too few n-grams are rare for the formula, 0.5, 1 and 1.5.
     """
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first()
     if not n1 * n2 * n3 * n4:
         return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(trusted: DataFrame) -> dict | None:
-    """trusted(text) -> the model; None if there is no text.
+def tagged(fold: Column, m: Column, key: Column) -> Column:
+    """An n-gram of order m in the model of a fold, as one number."""
+    return F.shiftleft(fold.cast("long"), 63).bitwiseOR(F.shiftleft(m.cast("long"), 60)).bitwiseOR(key)
+
 
-    The highest order has counts of occurrences, lower ones count in how many
-    left contexts an n-gram occurs. Each order's counts are a table, sharded by
-    n-gram or by context as the joins need it. An n-gram's probability is its
-    discounted share of its context plus the context's back-off weight times
-    the probability of its suffix, found by a join with the order below.
+def train(texts: DataFrame) -> tuple[DataFrame, dict[int, float]] | None:
+    """texts(fold, text) of trusted documents -> values(key, value) and the base of each fold; None if there is no text.
 
-    What is collected is the joined table and the back-off weights: at most
-    64**4 n-grams exist, so their size is bounded whatever the corpus.
+    The highest order has counts of occurrences; lower ones count in how many
+    left contexts an n-gram occurs. An n-gram's probability is its discounted
+    share of its context, plus the context's back-off weight times the
+    probability of its suffix, which a join with the order below finds. Its value
+    is ln of that over what backing off would give, plus ln of its back-off
+    weight as a context. So ln P of a text is the sum, over its symbols, of the
+    base and of the values of the n-grams of all orders that end there, whether
+    the model has them or not (0); before a text, START is a context only.
+    Nothing but a row for each order and fold reaches the driver.
     """
-    tables = {ORDER: spool(ngram_counts(trusted))}
+    top = spool(counted(texts))
+    tables = {ORDER: top.withColumn("m", F.lit(ORDER))}
     for m in range(ORDER - 1, 0, -1):
-        tables[m] = tables[m + 1].groupBy(F.col("key").bitwiseAND(F.lit(KINDS**m - 1)).alias("key")).agg(F.count("*").alias("n"))
-    if tables[ORDER].isEmpty():
+        tables[m] = tables[m + 1].groupBy("fold", F.col("key").bitwiseAND(F.lit(mask(m))).alias("key")).agg(F.count("*").alias("n")).withColumn("m", F.lit(m))
+    every = tables[ORDER].select("m", "fold", "key", "n")
+    for m in range(1, ORDER):
+        every = every.union(tables[m].select("m", "fold", "key", "n"))
+    source = every = spool(every)
+    discard(top)
+    rare = every.groupBy("m", "fold").agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()  # a row for each order and fold
+    if not rare:
         return None
-    model: dict = {"id": uuid.uuid4().hex}
-    below: DataFrame | None = None
+    cut = F.lit(None).cast("double")
+    for r in rare:
+        d = discounts(r.n1, r.n2, r.n3, r.n4)
+        cut = F.when((F.col("m") == r.m) & (F.col("fold") == r.fold), F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(cut)
+    every = every.withColumn("cut", cut).withColumn("context", F.shiftright("key", BITS))
+    contexts = spool(every.groupBy("m", "fold", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("rest")))
+    known = spool(every.join(contexts, ["m", "fold", "context"]).select("m", "fold", "key", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "rest"))
+    steps = [known.where("m = 1").withColumn("q", F.lit(1 / KINDS))]
     for m in range(1, ORDER + 1):
-        table = tables[m]
-        d = discounts(table)
-        cut = lambda n, d=d: F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        contexts = table.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut(F.col("n"))) / F.sum("n")).alias("rest"))
-        known = table.withColumn("context", F.shiftright("key", BITS)).join(contexts, "context").withColumn("own", (F.col("n") - cut(F.col("n"))) / F.col("total"))
-        if below is None:
-            known = known.withColumn("p", F.col("own") + F.col("rest") / KINDS)
-        else:
-            suffix = F.col("key").bitwiseAND(F.lit(KINDS ** (m - 1) - 1))
-            known = known.withColumn("suffix", suffix).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix").withColumn("p", F.col("own") + F.col("rest") * F.col("q"))
-        below = spool(known.select("key", "p"))
-        seen, weights = below.toArrow(), contexts.select("context", "rest").toArrow()
-        model[m] = tuple(c.to_numpy() for t in (seen, weights) for c in t.columns)
-    return model
-
-
-def dense(model: dict) -> np.ndarray:
-    """-ln P of the last symbol, for each possible n-gram of the highest order; in 16 bits, 32 MB."""
-    p = np.full(KINDS, 1 / KINDS, dtype=np.float32)  # by suffix: all contexts that share it share its probabilities
-    for m in range(1, ORDER):
-        keys, own, contexts, rest = model[m]
-        weight = np.ones(KINDS ** (m - 1), dtype=np.float32)
-        weight[contexts] = rest
-        lower = p.reshape(1, KINDS) if m == 1 else np.broadcast_to(p, (KINDS, len(p))).reshape(-1, KINDS)
-        p = (lower * weight[:, None]).reshape(-1)
-        p[keys] = own
-    keys, own, contexts, rest = model[ORDER]
-    weight = np.ones(KINDS ** (ORDER - 1), dtype=np.float32)
-    weight[contexts] = rest
-    nll = np.empty((KINDS, len(p)), dtype=np.float16)
-    for first, w in enumerate(weight.reshape(KINDS, -1, 1)):  # one first symbol at a time
-        nll[first] = -np.log((p.reshape(-1, KINDS) * w).reshape(-1))
-    nll = nll.reshape(-1)
-    nll[keys] = -np.log(own)
-    return nll
-
-
-_DENSE: dict[str, np.ndarray] = {}
-
-
-def table_of(model: dict) -> np.ndarray:
-    """dense(model), made once in each worker; at most one for each fold is held."""
-    if model["id"] not in _DENSE:
-        while len(_DENSE) >= FOLDS:
-            _DENSE.pop(next(iter(_DENSE)))
-        _DENSE[model["id"]] = dense(model)
-    return _DENSE[model["id"]]
-
-
-def spelled(text: np.ndarray, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Ids of OPEN, each word and CLOSE; ln of each one's probability by its spelling alone; that of all blanks where they stand.
-
-    A word's first byte follows a blank at a text's start, so a spelling's
-    probability depends on nothing but the word.
-    """
-    blank = np.ones(len(text) + 2, dtype=bool)
-    blank[1:-1] = _BLANK[text]
-    turns = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    kinds, inside = KIND[text], ~blank[1:-1]
-    offset = np.arange(len(text)) - np.repeat(starts, ends - starts) if inside.all() else np.zeros(len(text), dtype=np.int64)
-    if not inside.all():
-        offset[inside] = np.arange(len(text))[inside] - np.repeat(starts, ends - starts)
-    keys = kinds.copy()
-    for d in range(1, ORDER):
-        before = np.full(len(text), START, dtype=np.uint32)
-        before[d:] = kinds[: max(len(text) - d, 0)]
-        before = np.where(offset >= d, before, np.where(offset == d - 1, np.uint32(KIND[32]), np.uint32(START)))
-        keys |= before << np.uint32(BITS * d)
-    upto = np.zeros(len(text) + 1)
-    np.cumsum(np.where(inside, nll[keys], 0), out=upto[1:])
-    words = np.maximum(word_hashes(text) >> np.uint64(32), np.uint64(FIRST))
-    spelling = np.concatenate([[0.0], upto[starts] - upto[ends], [-np.log(KINDS)]])
-    rest = -float(nll[keys_of(text)[~inside]].sum(dtype=np.float64))
-    return np.concatenate([[np.uint64(OPEN)], words, [np.uint64(CLOSE)]]), spelling, rest
+        if m > 1:
+            below = steps[-1].select("fold", F.col("key").alias("suffix"), F.col("p").alias("q"))
+            steps.append(known.where(F.col("m") == m).withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask(m - 1)))).join(below, ["fold", "suffix"]))
+        steps[-1] = spool(steps[-1].select("m", "fold", "key", "own", "rest", "q", (F.col("own") + F.col("rest") * F.col("q")).alias("p")))
+    values = contexts.where("m > 1").select(tagged(F.col("fold"), F.col("m") - 1, F.col("context")).alias("key"), F.log("rest").alias("value"))
+    for step in steps:
+        values = values.union(step.select(tagged(F.col("fold"), F.col("m"), F.col("key")), F.log("p") - F.log(F.col("rest") * F.col("q"))))
+    values = spool(values.groupBy("key").agg(F.sum("value").alias("value")))
+    bases = {r.fold: float(np.log(r.rest / KINDS)) for r in contexts.where("m = 1").collect()}  # a row for each fold
+    discard(source, contexts, known, *steps)
+    return values, bases
 
 
-def fold_of(doc_id: str = "doc_id") -> Column:
-    """The half of the documents that a document is in."""
-    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
+# ----------------------------------------------------------- the documents
 
 
-def word_counts(texts: DataFrame, spelling: dict[int, dict]) -> DataFrame:
-    """texts(fold, text) -> (fold, key, n, spell): all words (keys below 2**32, with ln P of their spelling) and pairs of words."""
+def _packed(texts: list[np.ndarray], rows: list[int], folds: list[int]) -> bytes:
+    import zstandard
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for fold, parts in held.items():
-                ids, spells = (np.concatenate(x) for x in zip(*parts, strict=True))
-                ones, first, n1 = np.unique(ids, return_index=True, return_counts=True)
-                pairs = ids[:-1] << np.uint64(32) | ids[1:]
-                twos, n2 = np.unique(pairs[ids[:-1] != CLOSE], return_counts=True)
-                keys = np.concatenate([ones, twos]).view(np.int64)
-                spell = pa.array(np.concatenate([spells[first], np.zeros(len(twos))]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), fold, dtype=np.int32)), pa.array(keys), pa.array(np.concatenate([n1, n2])), spell], ["fold", "key", "n", "spell"])
+    head = [np.array([len(texts)], "<i8"), np.array(rows, "<i8"), np.array(folds, "<i8"), np.array([len(t) for t in texts], "<i8")]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in head), *(t.tobytes() for t in texts)]))
+
+
+def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    rows, folds, sizes = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+    ends = np.cumsum(sizes)
+    texts = np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+    return [texts[b - k : b] for k, b in zip(sizes, ends, strict=True)], rows, folds
+
+
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted numbers, by their differences."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).tobytes())
 
-        for batch in batches:
-            for fold, text in zip(batch.column("fold").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                if text is not None and len(text):
-                    held.setdefault(fold, []).append(spelled(text, table_of(spelling[fold]))[:2])
-                    size += len(text)
-                    if size > 4 << 20:
-                        yield from out()
-                        held.clear()
-                        size = 0
-        yield from out()
-
-    counted = texts.mapInArrow(count, "fold int, key long, n long, spell double")
-    return counted.groupBy("fold", "key").agg(F.sum("n").alias("n"), F.max("spell").alias("spell"))
-
-
-def train_words(texts: DataFrame) -> tuple[dict[int, dict], dict[int, float], DataFrame] | None:
-    """texts(fold, text) of trusted documents -> spelling models, weights of spelling, and a table (fold, key, value), each by fold.
-
-    One model for each fold with text. ln P of a text is the sum of the values of
-    its words and pairs of words (none where the table has none), and of each
-    word's spelling and weight: an n-gram's value is what its own probability adds
-    to that of its suffix, and, for a word, the back-off weight of its context.
-    So the tables need one join with a document's n-grams. Nothing of them is
-    collected.
-    """
-    spelling = {f: m for f in range(FOLDS) if (m := train(texts.where(F.col("fold") == f).select("text")))}
-    if not spelling:
-        return None
-    counts = spool(word_counts(texts, spelling))
-    first, second = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit(2**32 - 1))
-    pairs = counts.where(first != 0).select("fold", "key", first.alias("a"), second.alias("b"), "n")
-    follows = pairs.groupBy("fold", "b").agg(F.count("*").alias("n"))
-
-    def cut(table: DataFrame) -> Column:
-        """The discount of n, by fold."""
-        out = F.lit(None).cast("double")
-        for f in spelling:
-            d = discounts(table.where(F.col("fold") == f))
-            out = F.when(F.col("fold") == f, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(out)
-        return out
-
-    follows = spool(follows)
-    cut1, cut2 = cut(follows), cut(pairs)
-    totals = {r.fold: r for r in follows.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum(cut1) / F.sum("n")).alias("rest")).collect()}  # a row for each fold
-    of = lambda k: F.element_at(F.create_map(*(F.lit(x) for f, r in totals.items() for x in (f, float(r[k])))), F.col("fold"))
-    contexts = pairs.groupBy("fold", F.col("a").alias("word")).agg(F.sum("n").alias("total"), (F.sum(cut2) / F.sum("n")).alias("rest"))
-    shares = follows.select("fold", F.col("b").alias("word"), ((F.col("n") - cut1) / of("n")).alias("own"))
-    words = counts.where(first == 0).select("fold", F.col("key").alias("word"), "spell").join(shares, ["fold", "word"], "left").join(contexts, ["fold", "word"], "left")
-    base = of("rest") * F.exp("spell")
-    words = spool(words.withColumn("p", F.coalesce("own", F.lit(0.0)) + base).withColumn("gain", F.when(F.col("own").isNull(), 0.0).otherwise(F.log("p") - F.log(of("rest")) - F.col("spell"))))
-    ones = words.select("fold", F.col("word").alias("key"), (F.col("gain") + F.coalesce(F.log("rest"), F.lit(0.0))).alias("value"))
-    found = pairs.join(words.select("fold", F.col("word").alias("b"), "p"), ["fold", "b"]).join(words.select("fold", F.col("word").alias("a"), "total", "rest"), ["fold", "a"])
-    twos = found.select("fold", "key", F.log((F.col("n") - cut2) / (F.col("total") * F.col("rest") * F.col("p")) + 1).alias("value"))
-    return spelling, {f: float(np.log(r.rest)) for f, r in totals.items()}, spool(ones.union(twos))
-
-
-def scored(docs: DataFrame, model: tuple | None) -> DataFrame:
-    """docs(doc_id, text) -> (row, nll): -ln P of each text, by row_key(), under the model of the other fold.
 
-    Each task lists the documents of an n-gram, by number, once for some
-    megabytes of text; the lists are joined with the model's table by n-gram,
-    and each task of the join sums by document before it deals the sums out.
-    Null and empty texts, and folds without a model, are left out.
+def _decoded(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64), dtype=np.uint64)
+
+
+def _orders(top: np.ndarray, fold: int) -> Iterator[np.ndarray]:
+    """The tagged n-grams of each order that end n-grams of the highest one, for each of these."""
+    for m in range(1, ORDER + 1):
+        yield (top & np.uint64(mask(m))) | np.uint64(fold << 63 | m << 60)
+
+
+def _distinct(texts: list[np.ndarray], folds: np.ndarray, fold: int) -> np.ndarray:
+    """The different n-grams of the highest order in the texts of one fold."""
+    found = [np.unique(grams(p)[0]) for p in by_pieces(t for t, f in zip(texts, folds, strict=True) if f == fold)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
+    """docs(fold, row, text) -> (chunk, shard, data): chunks of texts, packed, and what they ask of each shard of the model.
+
+    A chunk is neighbouring texts of one task, of at most _CHUNK bytes unless it is one
+    text. Its row has no shard; the others have its different n-grams of all orders.
     """
-    if model is None:
-        return docs.select(row_key().alias("row"), F.lit(None).cast("double").alias("nll")).where("false")
-    spelling, weights, values = model
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, chunk, size = TaskContext.get().partitionId(), 0, 0
-        held: dict[int, list] = {}
-        heads: list[tuple] = []
-        schema = pa.schema([("doc", pa.int64()), ("fold", pa.int32()), ("key", pa.int64()), ("docs", pa.binary()), ("base", pa.float64()), ("row", pa.int64())])
-
-        def out() -> Iterator[pa.RecordBatch]:
-            place = task << 40 | chunk << 16
-            docs_, bases, rows_ = (np.array(x) for x in zip(*heads, strict=True))
-            docs_ = docs_ + place
-            n = len(docs_)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(np.full(n, -1, np.int32)), pa.array(docs_), pa.nulls(n, pa.binary()), pa.array(bases), pa.array(rows_)], schema=schema)
-            for fold, parts in held.items():
-                keys = np.concatenate([x for ids, _ in parts for x in (ids, ids[:-1] << np.uint64(32) | ids[1:])])
-                which = np.repeat(np.array([d for _, d in parts], dtype=np.uint16), [2 * len(ids) - 1 for ids, _ in parts])
-                order = np.argsort(keys, kind="stable")
-                keys, which = keys[order], which[order]
-                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                ends = (np.append(at, len(keys)) * 2).astype(np.int32)
-                n = len(at)
-                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(which.tobytes())])
-                made = pa.RecordBatch.from_arrays([pa.array(np.full(n, place)), pa.array(np.full(n, fold, np.int32)), pa.array(keys[at].view(np.int64)), lists, pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64())], schema=schema)
-                for k in range(0, n, 20_000):
-                    yield made.slice(k, 20_000)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        texts: list[np.ndarray] = []
+        rows: list[int] = []
+        folds: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            asked = [k for f in range(FOLDS) for k in _orders(_distinct(texts, np.array(folds), f), f)]
+            keys = np.unique(np.concatenate(asked))
+            shard = (keys.view(np.int64) % shards).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            ends = np.flatnonzero(np.diff(shard[order])) + 1
+            blocks = np.split(keys[order], ends)
+            own = shard[order][np.concatenate([[0], ends])]
+            data = [_packed(texts, rows, folds), *map(_coded, blocks)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), chunk)), pa.array([None, *own.tolist()], pa.int32()), pa.array(data, pa.binary())], ["chunk", "shard", "data"])
 
         for batch in batches:
             for fold, row, text in zip(batch.column("fold").to_pylist(), batch.column("row").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                if text is None or not len(text) or fold not in spelling:
+                if text is None or not len(text):
                     continue
-                ids, spells, rest = spelled(text, table_of(spelling[fold]))
-                held.setdefault(fold, []).append((ids, len(heads)))
-                heads.append((len(heads), float(spells.sum()) + rest + weights[fold] * (len(ids) - 1), row))
+                if texts and (size + len(text) > _CHUNK or len(texts) == _TEXTS):
+                    yield out()
+                    chunk, size, texts, rows, folds = chunk + 1, 0, [], [], []
+                texts.append(text)
+                rows.append(row)
+                folds.append(fold)
                 size += len(text)
-                if size > 4 << 20 or len(heads) == 1 << 16:
-                    yield from out()
-                    held, heads, size, chunk = {}, [], 0, chunk + 1
-        if heads:
-            yield from out()
+        if texts:
+            yield out()
 
-    def sum_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size = ["doc", "v", "row"], [], 0
+    return docs.mapInArrow(pack, "chunk long, shard int, data binary")
 
-        def out() -> pa.RecordBatch:
-            docs_, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, where = np.unique(docs_, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(where, v)), pa.nulls(len(found), pa.int64())], names)
 
+def answers(asked: DataFrame, values: DataFrame, shards: int) -> DataFrame:
+    """asked(chunk, shard, data), values(key, value) -> (chunk, keys, values): what the model has of what is asked, block by block.
+
+    A shard of the model comes first, then the blocks that ask for it, one after
+    the other: a task holds one shard, and one block, whatever their number.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, keys, found = None, [], None, None
         for batch in batches:
-            heads = batch.filter(batch.column("row").is_valid())
-            if heads.num_rows:
-                yield pa.RecordBatch.from_arrays([heads.column(c) for c in ("doc", "base", "row")], names)
-            hits = batch.filter(batch.column("value").is_valid())
-            if hits.num_rows:
-                lists = list(bytes_of(hits.column("docs")))
-                n = np.array([len(x) // 2 for x in lists])
-                held.append((np.repeat(hits.column("doc").to_numpy(), n) + np.concatenate(lists).view(np.uint16), np.repeat(hits.column("value").to_numpy(), n)))
-                size += int(n.sum())
-                if size > 1 << 21:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            shards_, is_block = batch.column("shard").to_numpy(), batch.column("chunk").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((shards_[1:] != shards_[:-1]) | (is_block[1:] != is_block[:-1])) + 1
+            out: tuple[list, list, list] = ([], [], [])
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if shards_[a] != shard:
+                    shard, parts, keys = shards_[a], [], None
+                if not is_block[a]:
+                    parts.append((batch.column("key").slice(a, b - a).to_numpy().view(np.uint64), batch.column("value").slice(a, b - a).to_numpy()))
+                    continue
+                if keys is None:
+                    keys, found = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
+                    order = np.argsort(keys)
+                    keys, found = keys[order], found[order]
+                for chunk, data in zip(batch.column("chunk").slice(a, b - a).to_pylist(), batch.column("data").slice(a, b - a).to_pylist(), strict=True):
+                    wanted = _decoded(data)
+                    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                    hit = np.flatnonzero(keys[at] == wanted) if len(keys) else np.zeros(0, np.int64)
+                    if len(hit):
+                        out[0].append(chunk)
+                        out[1].append(_coded(wanted[hit]))
+                        out[2].append(found[at[hit]].astype("<f4").tobytes())
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "keys", "values"])
+
+    table = values.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("chunk"), "key", "value", F.lit(None).cast("binary").alias("data"))
+    blocks = asked.select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "data")
+    both = table.union(blocks).repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first())
+    return both.mapInArrow(answer, "chunk long, keys binary, values binary")
+
+
+def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, per_shard: int = 1 << 20) -> DataFrame:
+    """docs(doc_id, text) -> (row, nll): -ln P of each text, by row_key(), under the model of the other fold.
 
-    given = docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text")
-    lists = given.mapInArrow(list_, "doc long, fold int, key long, docs binary, base double, row long")
-    joined = lists.join(values.hint("merge"), ["fold", "key"], "left").where("value is not null or row is not null").select("doc", "docs", "base", "row", "value")
-    sums = joined.mapInArrow(sum_, "doc long, v double, row long").groupBy("doc").agg(F.sum("v").alias("v"), F.max("row").alias("row"))
-    return sums.groupBy("row").agg(F.round(-F.avg("v"), 6).alias("nll"))  # repeated rows have one key and one sum
+    Texts are packed into chunks, once. A chunk asks each shard of the model for
+    its different n-grams, and what comes back is joined with the chunk, whose
+    texts are then summed up. Null and empty texts, and folds without a model,
+    are left out.
+    """
+    if model is None:
+        return docs.select(row_key().alias("row"), F.lit(None).cast("double").alias("nll")).where("false")
+    values, bases = model
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        rows_, nlls = [], []
+        for data in chunk.column("data").to_pylist():
+            texts, rows, folds = _unpacked(data)
+            blocks = [(_decoded(k), np.frombuffer(v, "<f4")) for k, v in zip(found.column("keys").to_pylist(), found.column("values").to_pylist(), strict=True)]
+            keys, value = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(1, np.uint64), np.zeros(1, np.float32))
+            order = np.argsort(keys)
+            keys, value = keys[order], value[order].astype(np.float64)
+            for fold, base in bases.items():
+                own = np.flatnonzero(folds == fold)
+                top = _distinct(texts, folds, fold)
+                total = np.zeros(len(top))
+                for k in _orders(top, fold):
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    total += np.where(keys[at] == k, value[at], 0.0)
+                done = 0
+                for piece in by_pieces(texts[k] for k in own):
+                    every, owner = grams(piece)
+                    sums = np.bincount(owner, total[np.searchsorted(top, every)], len(piece)) + base * (np.array([len(x) for x in piece]) - ORDER)
+                    rows_.extend(rows[own[done : done + len(piece)]].tolist())
+                    nlls.extend((-sums).tolist())
+                    done += len(piece)
+        return pa.table({"row": pa.array(rows_, pa.int64()), "nll": pa.array(nlls, pa.float64())})
+
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-values.count() // per_shard)) | 1
+    made = spool(chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), shards))
+    found = answers(made.where("shard is not null"), values, shards)
+    each = made.where("shard is null").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "row long, nll double")
+    out = spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
+    discard(made)
+    return out
 
 
 def thresholds(scores: DataFrame, by: list[str], quantile: float, step: float, least: int) -> DataFrame:
@@ -378,20 +380,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     Where fewer than `least` are trusted, that of all languages' texts of the class
     stands in, then of a wider class, then the language's of any length, then that
     of all. Documents above
-    it go. Perplexity is per byte. Null and empty texts have none and go; without trusted
+    it go. Perplexity is per character. Null and empty texts have none and go; without trusted
     text all others stay. Null languages are one of their own, repeated rows are
     judged alike, other columns pass through.
     """
     made = ["n_bytes", "perplexity", "threshold", "kept"]
     carried = Carried(docs, ["doc_id", "lang", "text"], made)
     docs = carried.docs
-    # trusted ids grow with the labels: they are never broadcast, and texts are dealt out by doc_id once, for training
+    # trusted ids grow with the labels: Spark sends them to all tasks only below its own limit of size, else it deals texts out by doc_id
     ids = spool(trusted_ids(labels))
-    texts = spool(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
-    found = spool(scored(docs.select("doc_id", "text"), train_words(texts)).withColumnRenamed("row", "_row"))
-    docs = docs.withColumn("_row", row_key()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    with_scores = lambda df: df.join(found.hint("merge"), "_row", "left").withColumn("nll", F.col("nll") / F.col("n_bytes"))
-    scores = spool(with_scores(docs.select("doc_id", "lang", "_row", "n_bytes").join(ids.hint("merge"), "doc_id", "left_semi")).select("lang", length_class(F.col("n_bytes")).alias("_size"), "nll"))
+    model = train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
+    found = scored(docs.select("doc_id", "text"), model).withColumnRenamed("row", "_row")
+    if model:
+        discard(model[0])
+    docs = docs.withColumn("_row", row_key()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("_n", F.char_length("text") + 1)
+    with_scores = lambda df: df.join(found.hint("merge"), "_row", "left").withColumn("nll", F.col("nll") / F.col("_n"))
+    scores = spool(with_scores(docs.select("doc_id", "lang", "_row", "n_bytes", "_n").join(ids.hint("merge"), "doc_id", "left_semi")).select("lang", length_class(F.col("n_bytes")).alias("_size"), "nll"))
 
     def limited(df: DataFrame) -> DataFrame:
         """With each row's threshold, of the first group that has one."""

@@ -1,4 +1,4 @@
-"""The word model of op4_perplexity against a plain one."""
+"""The n-gram model of op4_perplexity against a plain one."""
 
 from __future__ import annotations
 
@@ -8,60 +8,75 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathom.llm.perplexity import FOLDS, classify, dense, discounts, fold_of, scored, spelled, train_words
+from fathom.llm import perplexity
+from fathom.llm.perplexity import CLOSE, FOLDS, KINDS, ORDER, START, classify, discounts, fold_of, scored, train
 
 from .test_operators import SCHEMA, labelled, prose
 
 
-def plain(spark, texts, nll):
-    """ln P of a text under interpolated modified Kneser-Ney over pairs of words, with spelling below."""
-    pairs = Counter(p for t in texts for ids in [spelled(t, nll)[0].tolist()] for p in zip(ids, ids[1:]))
-    follows = Counter(b for _, b in pairs)
-    cuts = [discounts(spark.createDataFrame([(n,) for n in c.values()], "n long")) for c in (follows, pairs)]
-    cut = lambda k, n: cuts[k][min(n, 3) - 1]
-    total, rest, all_ = Counter(), defaultdict(float), sum(follows.values())
-    for (a, _), n in pairs.items():
-        total[a] += n
-        rest[a] += cut(1, n)
-    rest1 = sum(cut(0, n) for n in follows.values()) / all_
-
-    def score(text):
-        ids, spells, blanks = spelled(text, nll)
-        out = blanks
-        for a, b, s in zip(ids.tolist(), ids[1:].tolist(), spells[1:]):
-            p = rest1 * math.exp(s) + ((follows[b] - cut(0, follows[b])) / all_ if b in follows else 0)
-            if a in total:
-                n = pairs.get((a, b), 0)
-                p = (n - cut(1, n) if n else 0) / total[a] + rest[a] / total[a] * p
-            out += math.log(p)
-        return -out
-
-    return score
-
-
-def test_words_are_joined(spark):
-    """Scores equal the plain model's; tables grow with the text; words in another order are less likely."""
-    table = [(k, prose(k % 20, 60)) for k in range(40)] + [(100, " \n two  blanks\t"), (101, "unheard OF words"), (102, " "), (103, "é")]
+def symbols(text: str) -> list[int]:
+    high = lambda c: 2048 + ((c * 0x9E3779B1 % 2**32) >> 21)
+    return [START] * ORDER + [ord(c) + 2 if ord(c) < 2046 else high(ord(c)) for c in text] + [CLOSE]
+
+
+def plain(texts):
+    """P(next symbol | the four before it) under interpolated modified Kneser-Ney."""
+    counts = {ORDER: Counter(tuple(s[i - ORDER + 1 : i + 1]) for t in texts if t for s in [symbols(t)] for i in range(ORDER, len(s)))}
+    for m in range(ORDER - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    cut = {m: discounts(*(sum(n == k for n in c.values()) for k in (1, 2, 3, 4))) for m, c in counts.items()}
+    d = lambda m, n: cut[m][min(n, 3) - 1]
+    total, rest = defaultdict(Counter), defaultdict(lambda: defaultdict(float))
+    for m, c in counts.items():
+        for g, n in c.items():
+            total[m][g[:-1]] += n
+            rest[m][g[:-1]] += d(m, n)
+
+    def p(gram):
+        m = len(gram)
+        below = p(gram[1:]) if m > 1 else 1 / KINDS
+        if gram[:-1] not in total[m]:
+            return below
+        n = counts[m].get(gram, 0)
+        return (n - d(m, n) if n else 0) / total[m][gram[:-1]] + rest[m][gram[:-1]] / total[m][gram[:-1]] * below
+
+    return p
+
+
+def test_documents_equal_the_plain_model(spark, monkeypatch):
+    """Scores in one chunk and in many; values grow with the text; every context's probabilities sum to one."""
+    table = [(k, prose(k % 20, 60)) for k in range(40)] + [(100, " \n two  blanks\t"), (101, "unheard OF words"), (102, " "), (103, "é漢字😀"), (104, "漢"), (105, None), (106, "")]
     df = spark.createDataFrame(table, "doc_id long, text string")
     fold = {r.doc_id: r.fold for r in df.select("doc_id", fold_of().alias("fold")).collect()}
-    trusted = df.where("doc_id < 30").select(fold_of().alias("fold"), "text")
-    model = train_words(trusted)
-    rows = {r.row: r.nll for r in scored(df.union(df.where("doc_id = 1")), model).collect()}
+    trusted = df.where("doc_id < 30 or doc_id = 103").select(fold_of().alias("fold"), "text")
     key = {r.doc_id: r.row for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("row")).collect()}
-    raw = lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
-    for m in range(FOLDS):
-        score = plain(spark, [raw(t) for k, t in table if k < 30 and fold[k] == m], dense(model[0][m]))
+    models = [plain([t for k, t in table if (k < 30 or k == 103) and fold[k] == m]) for m in range(FOLDS)]
+    for p in models:
+        for context in ((START,) * 4, tuple(symbols("alph")[-5:-1]), tuple(symbols("zzzz")[-5:-1]), tuple(symbols("xqal")[-5:-1])):
+            assert abs(sum(p((*context, c)) for c in range(KINDS)) - 1) < 1e-9
+    for chunk in (perplexity._CHUNK, 1000):
+        monkeypatch.setattr(perplexity, "_CHUNK", chunk)
+        model = train(trusted)
+        rows = {r.row: r.nll for r in scored(df.union(df.where("doc_id = 1")), model, per_shard=500).collect()}
+        assert len(rows) == len(table) - 2
         for k, t in table:
-            if fold[k] != m:
-                assert abs(rows[key[k]] - score(raw(t))) < 1e-3, t
-    small = train_words(trusted.where(F.length("text") > 0).limit(10))
-    assert model[2].count() > 1.5 * small[2].count()
-    words = prose(3, 60).split(" ")
-    turned = spark.createDataFrame([(k, " ".join(w)) for k in range(8) for w in (words, words[::2] + words[1::2])], "doc_id long, text string").where(fold_of() == 1 - fold[3])
-    nll = {r.row: r.nll for r in scored(turned, model).collect()}
-    for k in {r.doc_id for r in turned.collect()}:
-        a, b = (nll[r.row] for r in turned.where(F.col("doc_id") == k).orderBy(F.col("text") != " ".join(words)).select(F.xxhash64("doc_id", "text").alias("row")).collect())
-        assert a < b
+            if t:
+                s = symbols(t)
+                want = -sum(math.log(models[1 - fold[k]](tuple(s[i - 4 : i + 1]))) for i in range(ORDER, len(s)))
+                assert abs(rows[key[k]] - want) < 1e-3 * max(1, want / 100), (k, t)
+    assert model[0].count() > 1.5 * train(trusted.where(F.length("text") > 0).limit(10))[0].count()
+    assert train(trusted.where("false")) is None
+
+
+def test_pieces_and_long_texts():
+    from fathom.llm.perplexity import grams
+
+    texts = ["ab", "", "x" * 5000, "é"]
+    every = [perplexity.symbols(np.frombuffer(t.encode(), dtype=np.uint8)) for t in texts]
+    assert [x.tolist() for x in every] == [symbols(t) for t in texts]
+    keys, owner = grams(every)
+    assert np.bincount(owner).tolist() == [len(t) + 2 for t in texts]
+    assert keys[0] == 0 and keys[2] == (ord("a") + 2) << 12 | ord("b") + 2 and keys[3] == (ord("a") + 2) << 24 | (ord("b") + 2) << 12 | CLOSE
 
 
 def test_short_texts_have_their_own_limits(spark):
