@@ -40,17 +40,40 @@ def symbols(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """texts as symbols() -> the n-gram of the highest order that ends at each symbol from the last START on, and the number of its text."""
+def grams(texts: list[np.ndarray]) -> np.ndarray:
+    """texts as symbols() -> the n-grams of the highest order that end at each symbol from the last START on, text after text."""
     s = np.concatenate(texts)
     n = len(s) - ORDER + 1
-    keys = np.zeros(n, dtype=np.uint64)
-    for k in range(ORDER):
-        keys = (keys << np.uint64(BITS)) | s[k : k + n]
-    sizes = np.array([len(x) for x in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)[ORDER - 1 :]
-    inside = np.arange(n) + ORDER - 1 - (np.cumsum(sizes) - sizes)[owner] >= ORDER - 1
-    return keys[inside], owner[inside]
+    keys = s[:n].copy()
+    for k in range(1, ORDER):
+        keys <<= np.uint64(BITS)
+        keys |= s[k : k + n]
+    inside = np.ones(n, dtype=bool)
+    ends = np.cumsum([len(x) for x in texts])[:-1]
+    inside[(ends[:, None] - np.arange(1, ORDER)).reshape(-1)] = False  # these begin in the text before
+    return keys[inside]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def finder(top: np.ndarray):
+    """A function from keys that are all in top (sorted, each once) to their places: most by one look into a table."""
+    bits = max(10, (4 * len(top)).bit_length())
+    slot = lambda keys: (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    table = np.zeros(1 << bits, dtype=np.int32)
+    table[slot(top)] = np.arange(len(top), dtype=np.int32)
+
+    def find(keys: np.ndarray) -> np.ndarray:
+        at = table[slot(keys)]
+        other = np.flatnonzero(top[at] != keys)
+        at[other] = np.searchsorted(top, keys[other])
+        return at
+
+    return find
 
 
 def by_pieces(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -94,8 +117,10 @@ def counted(texts: DataFrame) -> DataFrame:
             every = list(bytes_of(batch.column("text")))
             for fold in range(FOLDS):
                 for piece in by_pieces(every[k] for k in np.flatnonzero(folds == fold) if every[k] is not None and len(every[k])):
-                    keys = grams(piece)[0]
-                    held[fold].append(np.unique(keys[keys != 0], return_counts=True))  # 0: nothing but START
+                    keys = np.sort(grams(piece))
+                    keys = keys[np.searchsorted(keys, 1) :]  # 0: nothing but START
+                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    held[fold].append((keys[first], np.diff(np.append(first, len(keys)))))
                     if sum(len(k) for k, _ in held[fold]) > 1 << 21:
                         held[fold] = [summed(fold)]
                         if len(held[fold][0][0]) > 1 << 20:
@@ -178,7 +203,7 @@ def _packed(texts: list[np.ndarray], rows: list[int], folds: list[int]) -> bytes
     import zstandard
 
     head = [np.array([len(texts)], "<i8"), np.array(rows, "<i8"), np.array(folds, "<i8"), np.array([len(t) for t in texts], "<i8")]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in head), *(t.tobytes() for t in texts)]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([*(x.tobytes() for x in head), *(t.tobytes() for t in texts)]))
 
 
 def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -213,8 +238,8 @@ def _orders(top: np.ndarray, fold: int) -> Iterator[np.ndarray]:
 
 def _distinct(texts: list[np.ndarray], folds: np.ndarray, fold: int) -> np.ndarray:
     """The different n-grams of the highest order in the texts of one fold."""
-    found = [np.unique(grams(p)[0]) for p in by_pieces(t for t, f in zip(texts, folds, strict=True) if f == fold)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [distinct(grams(p)) for p in by_pieces(t for t, f in zip(texts, folds, strict=True) if f == fold)]
+    return distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
@@ -232,7 +257,7 @@ def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             asked = [k for f in range(FOLDS) for k in _orders(_distinct(texts, np.array(folds), f), f)]
-            keys = np.unique(np.concatenate(asked))
+            keys = distinct(np.concatenate(asked))
             shard = (keys.view(np.int64) % shards).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             ends = np.flatnonzero(np.diff(shard[order])) + 1
@@ -259,13 +284,16 @@ def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def answers(asked: DataFrame, values: DataFrame, shards: int) -> DataFrame:
-    """asked(chunk, shard, data), values(key, value) -> (chunk, keys, values): what the model has of what is asked, block by block.
+    """asked(chunk, shard, data), values(key, value) -> (chunk, shard, values): the values of each block's n-grams, 0 where the model has none.
 
     A shard of the model comes first, then the blocks that ask for it, one after
     the other: a task holds one shard, and one block, whatever their number.
     """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         shard, parts, keys, found = None, [], None, None
         for batch in batches:
             shards_, is_block = batch.column("shard").to_numpy(), batch.column("chunk").is_valid().to_numpy(zero_copy_only=False)
@@ -280,24 +308,22 @@ def answers(asked: DataFrame, values: DataFrame, shards: int) -> DataFrame:
                     parts.append((batch.column("key").slice(a, b - a).to_numpy().view(np.uint64), batch.column("value").slice(a, b - a).to_numpy()))
                     continue
                 if keys is None:
-                    keys, found = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
+                    keys, found = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(1, np.uint64), np.zeros(1))  # no n-gram is 0
                     order = np.argsort(keys)
                     keys, found = keys[order], found[order]
                 for chunk, data in zip(batch.column("chunk").slice(a, b - a).to_pylist(), batch.column("data").slice(a, b - a).to_pylist(), strict=True):
                     wanted = _decoded(data)
-                    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                    hit = np.flatnonzero(keys[at] == wanted) if len(keys) else np.zeros(0, np.int64)
-                    if len(hit):
-                        out[0].append(chunk)
-                        out[1].append(_coded(wanted[hit]))
-                        out[2].append(found[at[hit]].astype("<f4").tobytes())
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    out[0].append(chunk)
+                    out[1].append(int(shard))
+                    out[2].append(pack(np.where(keys[at] == wanted, found[at], 0.0).astype("<f4").tobytes()))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "keys", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "values"])
 
     table = values.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("chunk"), "key", "value", F.lit(None).cast("binary").alias("data"))
-    blocks = asked.select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "data")
+    blocks = asked.mapInArrow(lambda batches: (b.filter(b.column("shard").is_valid()) for b in batches), asked.schema).select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "data")
     both = table.union(blocks).repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first())
-    return both.mapInArrow(answer, "chunk long, keys binary, values binary")
+    return both.mapInArrow(answer, "chunk long, shard int, values binary")
 
 
 def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, per_shard: int = 1 << 20) -> DataFrame:
@@ -313,36 +339,46 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
     values, bases = model
 
     def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        answered = {shard: np.frombuffer(unpack(v), "<f4") for shard, v in zip(found.column("shard").to_pylist(), found.column("values").to_pylist(), strict=True)}
+        asked, packed = [], []
+        for shard, data in zip(chunk.column("shard").to_pylist(), chunk.column("data").to_pylist(), strict=True):
+            if shard is None:
+                packed.append(data)
+            else:
+                asked.append((_decoded(data), answered[shard]))
+        if len(packed) != 1 or any(len(k) != len(v) for k, v in asked):
+            raise ValueError("the documents came in another order when they were read again: write them to a table first")
+        keys, value = (np.concatenate(x) for x in zip(*asked, strict=True))
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order].astype(np.float64)
+        texts, rows, folds = _unpacked(packed[0])
         rows_, nlls = [], []
-        for data in chunk.column("data").to_pylist():
-            texts, rows, folds = _unpacked(data)
-            blocks = [(_decoded(k), np.frombuffer(v, "<f4")) for k, v in zip(found.column("keys").to_pylist(), found.column("values").to_pylist(), strict=True)]
-            keys, value = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(1, np.uint64), np.zeros(1, np.float32))
-            order = np.argsort(keys)
-            keys, value = keys[order], value[order].astype(np.float64)
-            for fold, base in bases.items():
-                own = np.flatnonzero(folds == fold)
-                top = _distinct(texts, folds, fold)
-                total = np.zeros(len(top))
-                for k in _orders(top, fold):
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    total += np.where(keys[at] == k, value[at], 0.0)
-                done = 0
-                for piece in by_pieces(texts[k] for k in own):
-                    every, owner = grams(piece)
-                    sums = np.bincount(owner, total[np.searchsorted(top, every)], len(piece)) + base * (np.array([len(x) for x in piece]) - ORDER)
-                    rows_.extend(rows[own[done : done + len(piece)]].tolist())
-                    nlls.extend((-sums).tolist())
-                    done += len(piece)
+        for fold, base in bases.items():
+            own = np.flatnonzero(folds == fold)
+            a, b = np.searchsorted(keys, np.array([fold << 63 | ORDER << 60, fold << 63 | ORDER << 60 | mask(ORDER)], np.uint64))
+            top = keys[a : b + 1 if b < len(keys) and keys[b] == np.uint64(fold << 63 | ORDER << 60 | mask(ORDER)) else b] & np.uint64(mask(ORDER))
+            if not len(top):
+                continue
+            total, find = sum(value[np.searchsorted(keys, k)] for k in _orders(top, fold)), finder(top)
+            done = 0
+            for piece in by_pieces(texts[k] for k in own):
+                sizes = np.array([len(x) for x in piece]) - ORDER + 1
+                sums = np.add.reduceat(total[find(grams(piece))], np.cumsum(sizes) - sizes) + base * (sizes - 1)
+                rows_.extend(rows[own[done : done + len(piece)]].tolist())
+                nlls.extend((-sums).tolist())
+                done += len(piece)
         return pa.table({"row": pa.array(rows_, pa.int64()), "nll": pa.array(nlls, pa.float64())})
 
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-values.count() // per_shard)) | 1
-    made = spool(chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), shards))
-    found = answers(made.where("shard is not null"), values, shards)
-    each = made.where("shard is null").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "row long, nll double")
-    out = spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
-    discard(made)
-    return out
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(partitions, -(-values.count() // per_shard)) | 1
+    # the shuffle by chunk is the one copy of the texts: what is asked comes from it, and what is answered goes to it
+    made = chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), shards).repartition(partitions, "chunk")
+    found = answers(made, values, shards)
+    each = made.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "row long, nll double")
+    return spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
 
 
 def thresholds(scores: DataFrame, by: list[str], quantile: float, step: float, least: int) -> DataFrame:
@@ -389,7 +425,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     docs = carried.docs
     # trusted ids grow with the labels: Spark sends them to all tasks only below its own limit of size, else it deals texts out by doc_id
     ids = spool(trusted_ids(labels))
-    model = train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
+    texts = spool(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
+    model = train(texts)
+    discard(texts)
     found = scored(docs.select("doc_id", "text"), model).withColumnRenamed("row", "_row")
     if model:
         discard(model[0])
