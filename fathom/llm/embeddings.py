@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,30 @@ def hashed(vectors: DataFrame, tables: int, projections: int, width: float) -> D
                     cell = np.floor((x @ towards + shift) / width).astype(np.int64).view(np.uint64)
                     keys[own] = mix((mix(cell) * salt).reshape(len(own), tables, projections).sum(2, dtype=np.uint64))
             at = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, signed(keys.reshape(-1)))], [*batch.schema.names, "keys"])
+            short = pa.array((keys.reshape(-1) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, short)], [*batch.schema.names, "keys"])
 
-    return vectors.mapInArrow(cells, vectors.withColumn("keys", F.array().cast("array<long>")).schema)
+    return vectors.mapInArrow(cells, vectors.withColumn("keys", F.array().cast("array<int>")).schema)
+
+
+def same_cell(distance: float, width: float) -> float:
+    """The probability that vectors at a distance share the cell of one projection."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
+
+
+def tables_for(n: int, least: float, width: float, recall: float, mates: float = 16.0) -> tuple[int, int]:
+    """How many tables of how many projections find a pair at the least cosine with this probability.
+
+    Of n vectors of a label about `mates` that are at right angles share a bucket with each.
+    """
+    far, near = same_cell(math.sqrt(2), width), same_cell(math.sqrt(2 - 2 * least), width)
+    projections = max(8, math.ceil(math.log(max(n, 1) / mates) / -math.log(far))) if n > mates else 8
+    return math.ceil(math.log(1 - recall) / math.log1p(-(near**projections))), projections
 
 
 def compared(buckets: DataFrame, least: float) -> DataFrame:
-    """buckets(band, label, key, lo, hi, side, node, size, vector, keys) -> node, links, root.
+    """buckets(band, label, key, lo, hi, side, node, class, size, vector, keys) -> node, class, links, root.
 
     links: vectors that the node is linked to here; root: the smallest node that
     it is joined to here. A pair counts in the first table that both share, so
@@ -50,25 +68,29 @@ def compared(buckets: DataFrame, least: float) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         for t in groups(batches, ["band", "label", "key", "lo", "hi"]):
             t = t.combine_chunks()
             side, node, size = (t.column(c).to_numpy() for c in ("side", "node", "size"))
             same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
             band = t.column("band")[0].as_py()
-            vectors = t.column("vector").to_pylist()
-            keys = np.array(t.column("keys").to_pylist(), dtype=np.int64)
+            if t.num_rows < 2:
+                continue
+            lists = t.column("vector").combine_chunks() if isinstance(t.column("vector"), pa.ChunkedArray) else t.column("vector")
+            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            own = t.column("keys").combine_chunks() if isinstance(t.column("keys"), pa.ChunkedArray) else t.column("keys")
+            keys = own.flatten().to_numpy().reshape(t.num_rows, -1)
             one = np.flatnonzero(side == 0)
             two = one if same else np.flatnonzero(side == 1)
             if not len(one) or not len(two):
                 continue
             pairs = []
-            lengths = np.array([len(v) for v in vectors])
+            lengths = np.diff(at)
             for dims in np.unique(lengths):
                 a, b = one[lengths[one] == dims], two[lengths[two] == dims]
                 if not len(a) or not len(b):
                     continue
-                x, y = (np.array([vectors[k] for k in s], dtype=np.float64) for s in (a, b))
+                x, y = (flat[at[s][:, None] + np.arange(dims)].astype(np.float64) for s in (a, b))
                 for m in (x, y):
                     m /= np.abs(m).max(1, keepdims=True)
                     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -92,15 +114,16 @@ def compared(buckets: DataFrame, least: float) -> DataFrame:
             root = rooted(len(node), rank[pairs])
             hit = np.flatnonzero(links)
             out[0].extend(node[hit].tolist())
-            out[1].extend(links[hit].tolist())
-            out[2].extend(node[order[root[rank[hit]]]].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
+            out[1].extend(t.column("class").to_numpy()[hit].tolist())
+            out[2].extend(links[hit].tolist())
+            out[3].extend(node[order[root[rank[hit]]]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "class", "links", "root"])
 
     by = ["band", "label", "key", "lo", "hi"]
-    return buckets.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "node long, links long, root long")
+    return buckets.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "node long, class long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 84, projections: int = 18, width: float = 2.0, block: int = 500) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, width: float = 2.0, tables: int | None = None, projections: int | None = None, block: int = 500) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row per vector.
 
     Vectors of one label whose cosine, in double precision, is at least `least`
@@ -109,31 +132,46 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 84, proj
     are null, empty or zero, or have null or non-finite components, and those
     with a null label or vec_id, are linked with nothing and kept. Vectors of
     different lengths aren't linked. Rows with equal vec_ids count as several
-    vectors, and share their component. Other columns are ignored.
+    vectors, each with its own links, and share their component. Other columns
+    are ignored.
 
     Equal vectors of a label form a class, of which one goes on. Random
     projections onto cells of the given width put the normalised vectors into
-    `tables` sets of buckets; what shares a bucket and label is compared, large
-    buckets in pairs of blocks. At a cosine of 0.93 a pair shares a bucket with
-    probability 0.99, more above. A bucket gives each vector's number of links
-    and one joined to it, never its pairs.
+    sets of buckets; what shares a bucket and label is compared, large buckets in
+    pairs of blocks. At the least cosine a pair shares a bucket with probability
+    `recall`, more above. Unless they are given, the number of projections grows
+    with the logarithm of the largest label, so that buckets stay small, and that
+    of tables as the recall then needs. A bucket gives each vector's number of
+    links and one joined to it, never its pairs.
     """
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    whole = vectors.where("vec_id is not null and label is not null").where(fine).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
-    classes = spool(whole.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")))
+    whole = vectors.where("vec_id is not null and label is not null").where(fine).select("vec_id", "label", F.col("embedding").alias("vector"))
+    # -0.0 and 0.0 are one number
+    whole = whole.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0).cast(vectors.schema["embedding"].dataType.elementType)).otherwise(x)))
+    classes = spool(whole.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.min(F.xxhash64("label", "vector")).alias("class")))
+    if tables is None or projections is None:
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        tables, projections = tables_for(most, least, width, recall)
     keyed = spool(hashed(classes, tables, projections, width))
-    places = keyed.select("node", "label", F.posexplode("keys").alias("band", "key"))
+    places = keyed.select("node", "class", "label", F.posexplode("keys").alias("band", "key"))
     at = ["band", "label", "key"]
     shared = places.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    mine = F.pmod("class", F.col("blocks")).cast("int")
     dealt = places.join(shared, at).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*at, "node", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    found = spool(compared(dealt.join(keyed.drop("label"), "node"), least))
-
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
-    named = classes.join(links, "node", "left").join(joined, "node", "left")
-    named = named.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    mine = whole.join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    dealt = dealt.select(*at, "node", "class", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    found = spool(compared(dealt.join(keyed.drop("label"), ["node", "class"]), least))
+
+    links = found.groupBy("node", "class").agg(F.sum("links").alias("links"))
+    # a vec_id of several classes joins them
+    of = whole.join(classes.select("label", "vector", "node", "class"), ["label", "vector"]).select("vec_id", "label", "node", "class")
+    several = of.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("vec_id").join(of, "vec_id").select(F.col("vec_id").alias("u"), F.col("node").alias("v"))
+    joined = components(found.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")).union(several).distinct())
+    named = classes.select("node", "class", "label", "size").join(links, ["node", "class"], "left").join(joined, "node", "left")
+    named = named.select("node", "class", "label", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    mine = of.join(named, ["node", "class", "label"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~F.coalesce(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return mine.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    # rows that link with nothing may have the id of others
+    both = mine.withColumn("_c", F.col("component_id")).union(rest.withColumn("_c", F.lit(None).cast("long")))
+    least_of = both.where("_c is not null").groupBy(F.col("vec_id").alias("_v")).agg(F.min("_c").alias("_least"))
+    out = both.join(least_of, F.expr("vec_id = _v"), "left").select("vec_id", "n_links", F.coalesce("_least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -97,8 +97,32 @@ def fold_of(doc_id: str = "doc_id") -> Column:
 # ------------------------------------------------------------- the model
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> the same with each text compressed, for a shuffle."""
+
+    def zip_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [None if x is None else pack(x.tobytes()) for x in bytes_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(zip_, "doc_id long, text binary")
+
+
+def _unzip(data: bytes | None) -> np.ndarray | None:
+    import zstandard
+
+    return None if data is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
 def counted(texts: DataFrame) -> DataFrame:
-    """texts(fold, text) -> (fold, key, n): all n-grams of the highest order, summed in each task before the shuffle."""
+    """texts(fold, text) -> (fold, key, n): all n-grams of the highest order, summed in each task before the shuffle.
+
+    Texts are strings, or as zipped() has them.
+    """
+    is_zipped = texts.schema["text"].dataType.typeName() == "binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS)]
@@ -114,7 +138,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             folds = batch.column("fold").to_numpy()
-            every = list(bytes_of(batch.column("text")))
+            every = [_unzip(x) for x in batch.column("text").to_pylist()] if is_zipped else list(bytes_of(batch.column("text")))
             for fold in range(FOLDS):
                 for piece in by_pieces(every[k] for k in np.flatnonzero(folds == fold) if every[k] is not None and len(every[k])):
                     keys = np.sort(grams(piece))
@@ -425,7 +449,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     docs = carried.docs
     # trusted ids grow with the labels: Spark sends them to all tasks only below its own limit of size, else it deals texts out by doc_id
     ids = spool(trusted_ids(labels))
-    texts = spool(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
+    texts = spool(zipped(docs).join(ids, "doc_id", "left_semi").select(fold_of().alias("fold"), "text"))
     model = train(texts)
     discard(texts)
     found = scored(docs.select("doc_id", "text"), model).withColumnRenamed("row", "_row")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, spool, window_hashes, word_hashes
@@ -27,8 +27,12 @@ RULES = {
     "capitals": "n_upper / word_chars",
     "long_words": "word_chars / n_words",
 }
-#: Rule -> cutoffs from lenient to strict.
-GRIDS = {k: [x / 40 for x in range(38, 0, -1)] for k in ("dup_lines", "repeats", "capitals")} | {"symbols": [x / 20 for x in range(40, 0, -1)], "long_words": [x / 2 for x in range(60, 10, -1)]}
+#: The path of cutoffs, from lenient to strict: beyond the highest signal of good documents by a factor and a bit, then at quantiles of theirs.
+BEYOND = ((2.0, 0.05), (1.5, 0.02), (1.2, 0.01), (1.0, 0.0))
+QUANTILES = (0.9975, 0.995, 0.9925, 0.99, 0.985, 0.98, 0.975, 0.97, 0.96, 0.95)
+STEPS = len(BEYOND) + len(QUANTILES)
+#: Signals are counted in steps of a thousandth.
+_UNIT = 1000
 
 
 def counts_of(text: np.ndarray | None) -> tuple[int, ...]:
@@ -79,43 +83,78 @@ def binomial_tail(k: int, n: int, rate: float) -> float:
     return min(1.0, total)
 
 
+def half_of(doc_id: str = "doc_id") -> Column:
+    """Labelled documents of half 0 shape the cutoffs, those of half 1 test them."""
+    return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
+
+
+def signal(rule: str) -> Column:
+    return F.ceil(F.try_divide(*map(F.col, RULES[rule].split(" / "))) * _UNIT) / _UNIT
+
+
+def paths(good: DataFrame) -> DataFrame:
+    """good(lang, COUNTS) -> lang, rule, cutoffs: STEPS cutoffs of each rule, from lenient to strict.
+
+    Made of exact counts of each thousandth of a signal, which are summed before they are shuffled.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), signal(rule).alias("at")) for rule in RULES))).alias("x")
+    counts = good.select("lang", each).where("x.at is not null").groupBy("lang", "x.rule", "x.at").count()
+    one = Window.partitionBy("lang", "rule")
+    upto = counts.withColumn("upto", F.sum("count").over(one.orderBy("at"))).withColumn("total", F.sum("count").over(one))
+    top = F.max("at")
+    cutoffs = [*(top * k + more for k, more in BEYOND), *(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("at"))) for q in QUANTILES)]
+    return upto.groupBy("lang", "rule").agg(F.array(*cutoffs).alias("cutoffs"))
+
+
 def certified_cutoffs(signals: DataFrame, labels: DataFrame, limit: float = 0.05, risk: float = 0.05) -> DataFrame:
-    """signals(doc_id, lang, ...), labels(doc_id, quality) -> lang, rule, cutoff.
+    """signals(doc_id, lang, COUNTS), labels(doc_id, quality) -> lang, rule, cutoff.
 
     A document of quality 1 is good. In each stratum (language; null is one of
-    its own) each rule may reject limit / rules of the good documents, so all
-    rules together at most limit. A cutoff counts as safe if the exact binomial
-    test on the labelled documents shows that, at level risk / (strata * rules).
-    Cutoffs are tested from lenient to strict up to the first that fails, so
-    their number needs no further correction. Of the safe ones the one that
-    rejects the most poor documents, net of good ones, is chosen, and the more
-    lenient of equals. Rules with no safe cutoff, or none that helps, stay out.
-    A doc_id with several labels has the lowest. With probability 1 - risk all
-    chosen cutoffs keep their limits.
+    its own) all rules together may reject `limit` of the good documents. The
+    rules become stricter together, step by step along paths() that one half of
+    the good labelled documents gives: the other half tests each step, with all
+    rules at once. A step counts as safe if the exact binomial test shows the
+    limit at level risk / strata. Steps are tested from lenient to strict up to
+    the first that fails (a fixed sequence), so their number needs no further
+    correction. Of the safe ones the one that rejects the most poor documents,
+    net of good ones, is chosen, and the more lenient of equals; strata in which
+    none is safe, or none helps, stay out. A doc_id with several labels has the
+    lowest. With probability 1 - risk all chosen steps keep the limit.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = signals.where("n_words > 0").join(labels, "doc_id")
-    level = lambda rule: sum((F.expr(RULES[rule]) > c).cast("int") for c in GRIDS[rule])  # noqa: E731  how many of the cutoffs reject it
-    each = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), level(rule).alias("level")) for rule in RULES))).alias("x")
-    counted = labelled.select("lang", "quality", each).groupBy("lang", "x.rule", "x.level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
-    strata = labelled.agg(F.count_distinct(F.coalesce("lang", F.lit("")), F.col("lang").isNull()).alias("strata"))
+    labelled = signals.where("n_words > 0").join(labels, "doc_id").withColumn("_half", half_of())
+    of = spool(paths(labelled.where("_half = 0 and quality = 1"))).withColumnRenamed("lang", "_lang")
+    by_lang = of.groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoffs"))).alias("_of"))  # a row for each language
+    # the number of steps that reject it: the strictest ones
+    def rejecting(rule: str) -> Column:
+        return F.size(F.filter(F.coalesce(F.col("_of")[rule], F.array().cast("array<double>")), lambda c: signal(rule) > c))
+
+    level = F.greatest(F.lit(0), *map(rejecting, RULES))
+    tested = labelled.where("_half = 1").join(by_lang, F.expr("lang <=> _lang")).select("lang", "quality", level.alias("level"))
+    counted = tested.groupBy("lang", "level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
+    strata = labelled.agg(F.count_distinct(F.coalesce("lang", F.lit("")), F.col("lang").isNull()).alias("strata"))  # one row
 
     def choose(key: tuple, rows: pa.Table) -> pa.Table:
-        rule = key[1].as_py()
-        level, rejected_good, rejected_poor = (rows.column(c).to_numpy() for c in ("level", "good", "poor"))
-        tests, good, poor, best = rows.column("strata")[0].as_py() * len(RULES), int(rejected_good.sum()), int(rejected_poor.sum()), None
-        for k, cutoff in enumerate(GRIDS[rule]):
-            gone = level >= len(GRIDS[rule]) - k  # these exceed the k-th cutoff, and so the stricter ones
-            lost = int(rejected_good[gone].sum())
-            if not good or binomial_tail(lost, good, limit / len(RULES)) > risk / tests:
-                break
-            gain = int(rejected_poor[gone].sum()) / max(poor, 1) - lost / good
-            if gain > (best[0] if best else 0):
-                best = gain, cutoff
-        found = [{"lang": key[0].as_py(), "rule": rule, "cutoff": best[1]}] if best else []
-        return pa.Table.from_pylist(found, pa.schema([("lang", pa.string()), ("rule", pa.string()), ("cutoff", pa.float64())]))
-
-    return counted.join(F.broadcast(strata)).groupBy("lang", "rule").applyInArrow(choose, "lang string, rule string, cutoff double")
+        step = chosen_step(*(rows.column(c).to_numpy() for c in ("level", "good", "poor")), limit, risk / rows.column("strata")[0].as_py())
+        found = [] if step is None else [{"lang": key[0].as_py(), "step": step}]
+        return pa.Table.from_pylist(found, pa.schema([("lang", pa.string()), ("step", pa.int32())]))
+
+    steps = counted.join(F.broadcast(strata)).groupBy("lang").applyInArrow(choose, "lang string, step int")
+    return steps.join(of, F.expr("lang <=> _lang")).select("lang", "rule", F.get("cutoffs", F.col("step")).alias("cutoff"))
+
+
+def chosen_step(level: np.ndarray, good: np.ndarray, poor: np.ndarray, limit: float, risk: float) -> int | None:
+    """good and poor documents by the number of steps that reject them -> the best safe step."""
+    best, goods, poors = None, int(good.sum()), int(poor.sum())
+    for step in range(STEPS):
+        gone = level >= STEPS - step
+        lost = int(good[gone].sum())
+        if not goods or binomial_tail(lost, goods, limit) > risk:
+            break
+        gain = int(poor[gone].sum()) / max(poors, 1) - lost / goods
+        if gain > (best[0] if best else 0):
+            best = gain, step
+    return best[1] if best else None
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, limit: float = 0.05, risk: float = 0.05, min_words: int = 50, max_repeats: float = 0.5) -> DataFrame:
@@ -129,7 +168,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, limit: float = 0.05, risk: f
     """
     signals = spool(count_signals(docs))
     cutoffs = certified_cutoffs(signals, labels, limit, risk).groupBy(F.col("lang").alias("_lang")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    exceeds = [F.when((F.col("n_words") > 0) & (F.try_divide(*map(F.col, x.split(" / "))) > F.col("_cutoffs")[rule]), F.lit(rule)) for rule, x in RULES.items()]
+    exceeds = [F.when((F.col("n_words") > 0) & (signal(rule) > F.col("_cutoffs")[rule]), F.lit(rule)) for rule in RULES]
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeats * F.col("n_words"))
     judged = signals.join(cutoffs, F.expr("lang <=> _lang"), "left").withColumn("failed_rules", F.array_compact(F.array(*exceeds))).withColumn("base_failed", base)
     return judged.select("doc_id", "lang", *COUNTS, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

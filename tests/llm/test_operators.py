@@ -158,7 +158,32 @@ def test_near_duplicates_chains_and_blocks(spark):
     df = spark.createDataFrame(table, "doc_id long, text string")
     want = brute.near(table)
     assert len({r[2] for r in want}) < 20
-    same(near_duplicates(df, block=8), ["doc_id", "n_shingles", "component_id", "kept"], want)
+    same(near_duplicates(df, block_shingles=2400), ["doc_id", "n_shingles", "component_id", "kept"], want)
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Texts under one doc_id are judged by themselves; a hub's bucket has others that are similar to each other only."""
+    a, b = prose(61, 200), prose(62, 200)
+    table = [(3, b), (5, a), (5, b), (5, b + " end"), (9, a + " end"), (4, prose(63, 50)), (4, prose(64, 50))]
+    found = near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.row_key): (r.component_id, r.kept) for r in found}
+    key = {(r.doc_id, r.text): r.k for r in spark.createDataFrame(table, "doc_id long, text string").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    at = lambda doc, text: got[doc, key[doc, text]]
+    assert at(3, b) == (3, True) and at(5, b) == (3, False) and at(5, b + " end") == (3, False)
+    assert at(5, a) == (5, True) and at(9, a + " end") == (5, False) and at(4, table[5][1]) == at(4, table[6][1]) == (4, True)
+    # a chain through what isn't similar to the smallest
+    base = prose(70, 100).split(" ")
+    chain = [(k, " ".join(base[: 100 - 4 * k] + [f"x{j}y{k // 2}" for j in range(4 * k)])) for k in range(12)]
+    want = brute.near(chain)
+    same(near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), block_shingles=150, bands=40, rows=4), ["doc_id", "n_shingles", "component_id", "kept"], want)
+
+
+def test_bands():
+    from fathom.llm.minhash import dealt
+
+    deal = dealt(20, 8)
+    assert sorted(deal.reshape(-1).tolist()) == list(range(160))
+    assert all(len({v % 80 for v in band}) == 8 and sum(v < 80 for v in band) == 4 for band in deal.tolist())
 
 
 def test_components(spark):
@@ -287,6 +312,19 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("false")).count() == 0
     twice = near_vectors(df.union(df.where("vec_id = 513 or vec_id = 511")))
     assert twice.count() == len(table) + 2 and twice.where("vec_id = 511").first().n_links == 1
+    x, y = [1.0, 0.0, 0.2], [0.0, 1.0, -0.0]
+    several = spark.createDataFrame([(3, x, 1), (5, y, 1), (5, x, 1), (7, y, 1), (8, [0.0, 1.0, 0.0], 1), (None, x, 1), (5, None, 1), (9, x, 2)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in near_vectors(several).where("vec_id is not null").collect())
+    assert got == [(3, 1, 3, True), (5, 0, 3, False), (5, 1, 3, False), (5, 2, 3, False), (7, 2, 3, False), (8, 2, 3, False), (9, 0, 9, True)]
+
+
+def test_tables_follow_size():
+    from fathom.llm.embeddings import same_cell, tables_for
+
+    for n in (0, 5, 1000, 10**6, 10**9):
+        tables, projections = tables_for(n, 0.93, 2.0, 0.99)
+        assert 1 - (1 - same_cell((2 - 1.86) ** 0.5, 2.0) ** projections) ** tables >= 0.99
+        assert n * same_cell(2**0.5, 2.0) ** projections <= 16
 
 
 # 8
@@ -312,6 +350,44 @@ def test_rules(spark, docs, none, nameless):
     assert apply_rules(docs, labels.where("false")).count() == len(ROWS) and apply_rules(nameless, labels).count() == 3
 
 
+def test_rules_equal_the_plain_version(spark):
+    """The verdict, stratum by stratum; no stratum's test half loses more than the limit."""
+    from fathom.llm import rules
+
+    junk = lambda k: " ".join(w.upper() if i % 3 else w + "**" for i, w in enumerate(prose(k, 70 + k % 9).split()))
+    odd = lambda k: prose(k, 60 + k % 40) + (" ##" if k % 17 == 0 else "")
+    table = [(k, odd(k), ("en", "de", None)[k % 3], "a", 1) for k in range(900)] + [(2000 + k, junk(k), ("en", "de", None)[k % 3], "a", 1) for k in range(60)] + [(3000 + k, odd(k), "fr", "a", 1) for k in range(30)]
+    df, labels = spark.createDataFrame(table, SCHEMA), labelled(spark, table, lambda r: int(not 2000 <= r[0] < 3000))
+    half = {r.doc_id: r.h for r in df.select("doc_id", rules.half_of().alias("h")).collect()}
+    counts = {r[0]: dict(zip(rules.COUNTS, rules.counts_of(__import__("numpy").frombuffer(r[1].encode(), dtype="u1")), strict=True)) for r in table}
+    up = lambda x: -(-round(x * 1000, 9) // 1) / 1000
+    value = lambda doc, rule: up(eval(rules.RULES[rule], {}, counts[doc]))
+    want, limits = {}, {}
+    for lang in {r[2] for r in table}:
+        own = [r[0] for r in table if r[2] == lang]
+        shape = [d for d in own if half[d] == 0 and not 2000 <= d < 3000]
+        test = [d for d in own if half[d] == 1]
+        path = {}
+        for rule in rules.RULES:
+            x = sorted(value(d, rule) for d in shape)
+            path[rule] = [x[-1] * k + more for k, more in rules.BEYOND] + [next(v for i, v in enumerate(x, 1) if sum(y <= v for y in x) >= q * len(x)) for q in rules.QUANTILES]
+        gone = lambda d, step: any(value(d, rule) > path[rule][step] for rule in rules.RULES)
+        good, poor, best = [d for d in test if not 2000 <= d < 3000], [d for d in test if 2000 <= d < 3000], (0, None)
+        for step in range(rules.STEPS):
+            lost = sum(gone(d, step) for d in good)
+            if binomial_tail(lost, len(good), 0.05) > 0.05 / 4:
+                break
+            gain = sum(gone(d, step) for d in poor) / max(1, len(poor)) - lost / len(good)
+            best = max(best, (gain, step), key=lambda b: b[0])
+        limits[lang] = best[1]
+        for d in own:
+            want[d] = best[1] is None or not gone(d, best[1])
+    found = {r.doc_id: r for r in apply_rules(df, labels).collect()}
+    assert limits["fr"] is None and all(limits[x] is not None for x in ("en", "de", None))
+    assert {d: r.kept for d, r in found.items()} == {d: k and not found[d].base_failed for d, k in want.items()}
+    assert not any(found[d].kept for d in want if 2000 <= d < 3000)
+
+
 def test_binomial_tail():
     from math import comb
 
