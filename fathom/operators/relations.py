@@ -16,8 +16,8 @@ from .retrieval import top_k
 from .sections import subtree_texts, top_level
 
 EDGE = "src string, dst string, type string, confidence double, source string, section string, evidence string, weight double, mentions long, context string, ord int"
-#: How much a mention weighs by where it stands.
-LOCATION_WEIGHTS = {"title": 6.0, "abstract": 3.0, "motivation": 1.0, "specification": 1.0, "body": 0.8, "rejected": 0.3, "meta": 0.0, "decision": 0.3, "compat": 0.5, "reference_impl": 0.3, "open_issues": 0.5, "heading": 8.0}
+#: How much a mention weighs by where it stands; other kinds of sections count as body.
+LOCATION_WEIGHTS = {"title": 6.0, "abstract": 3.0, "motivation": 1.0, "specification": 1.0, "body": 0.8, "compat": 0.5, "rejected": 0.3, "decision": 0.5, "meta": 0.0, "heading": 8.0}
 
 
 def key(kind: str, value: Column | str) -> Column:
@@ -96,7 +96,7 @@ def decisions(docs: DataFrame, found: DataFrame, lexicon: lx.Lexicon) -> DataFra
     status = F.coalesce(F.col("headers")["Status"], F.lit("?"))
     decided = docs.select("doc_id", status.alias("status"), F.col("headers")["Resolution"].alias("resolution")).where(~F.col("status").isin(*lexicon.undecided))
     note = F.array_join(F.filter(F.transform(F.split("own_text", "\n"), lambda x: F.trim(x)), lambda x: ~x.startswith(".. ")), "\n")
-    before = found.where("ord = 0").select("doc_id", "ord", F.lit("(preamble note)").alias("title"), note.alias("text")).where(F.col("text").rlike(r"(?i)\b(?:rejected|withdrawn)\b"))
+    before = found.where("ord = 0").select("doc_id", "ord", F.lit("before the first heading").alias("title"), note.alias("text")).where(F.col("text").rlike(r"(?i)\b(?:rejected|withdrawn)\b"))
     own = found.where("level between 1 and 2").where(lx.section_kind(F.array("title"), lexicon.section_kinds) == "decision").select("doc_id", "ord", "title", F.col("own_text").alias("text"))
     parts = before.unionByName(own).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", tx.paragraphs("text").alias("paras")))).alias("x"))
     parts = parts.select("doc_id", F.flatten(F.transform("x", lambda x: x["paras"])).alias("paras"), F.transform("x", lambda x: x["title"]).alias("sections"))
@@ -174,10 +174,12 @@ def lineage_edges(relations: DataFrame) -> DataFrame:
 
 def citations(found: DataFrame, word: str) -> DataFrame:
     """sections -> src, dst, kind, section, evidence, ord: one row for each mention of another document."""
-    cited = found.select("doc_id", "ord", "kind", F.array_join("path", " / ").alias("section"), "own_text", F.explode(tx.references("own_text", word)).alias("dst")).where("dst <> doc_id")
+    citing = found.select("doc_id", "ord", "kind", F.array_join("path", " / ").alias("section"), "own_text", F.filter(tx.references("own_text", word), lambda d: d != F.col("doc_id")).alias("dsts")).where(F.size("dsts") > 0)
+    # sentences are cut once for each section, not for each mention
     every = F.flatten(F.transform(tx.paragraphs("own_text"), lambda p: tx.sentences(p)))
+    cited = citing.select("doc_id", "ord", "kind", "section", every.alias("every"), "dsts").select("*", F.explode("dsts").alias("dst"))
     names = lambda s: F.rlike(s, F.concat(F.lit(r"\b0*"), F.col("dst").cast("string"), F.lit(r"\b")))
-    return cited.select(F.col("doc_id").alias("src"), "dst", "kind", "section", F.coalesce(F.get(F.filter(every, names), F.lit(0)), F.lit("")).alias("evidence"), "ord")
+    return cited.select(F.col("doc_id").alias("src"), "dst", "kind", "section", F.coalesce(F.get(F.filter("every", names), F.lit(0)), F.lit("")).alias("evidence"), "ord")
 
 
 def typed_references(cited: DataFrame, meta: DataFrame, foundational: tuple[str, ...] = ("abstract", "motivation", "specification", "body", "compat"), rejected: str = "rejected") -> DataFrame:
@@ -229,7 +231,7 @@ def ideas(found: DataFrame, meta: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     under = F.concat(tx.clean_title("parent_title"), F.lit(": "), F.lower(own))
     title = F.when(tx.generic_heading(own, lexicon.generic_words), F.when(F.col("parent_level") > 0, under).otherwise(F.concat(own, F.lit(" ("), doc, F.lit(")")))).otherwise(own)
     kind = F.when(F.array_join("path", " ").rlike(f"(?i){lexicon.non_goal}"), "non_goal").otherwise("alternative")
-    rows = rows.withColumn("kind", kind).withColumn("title2", F.when((F.col("kind") == "non_goal") & (F.col("ord") == F.col("container")), F.concat(F.lit("Stated non-goals of "), doc)).otherwise(title))
+    rows = rows.withColumn("kind", kind).withColumn("title2", F.when((F.col("kind") == "non_goal") & (F.col("ord") == F.col("container")), F.concat(F.lit("What "), doc, F.lit(" leaves out"))).otherwise(title))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_slug").orderBy("ord"))
     rows = rows.withColumn("_slug", tx.slug("title")).withColumn("_nth", nth)
     base = F.concat(F.lit("idea:"), F.col("doc_id").cast("string"), F.lit(":"), "_slug")
@@ -289,22 +291,26 @@ def tool_edges(found: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     return edges(tool_relations(hits).select(src.alias("src"), key("tool", "tool").alias("dst"), "type", F.lit(0.8).alias("confidence"), src.alias("source"), "section", F.col("n").alias("mentions")))
 
 
-def revisits(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, cosine: DataFrame, cited: DataFrame, strong: float = 0.30, aware: float = 0.15, least: float = 3) -> DataFrame:
-    """Rejected ideas taken up later: idea_id, doc_id, cosine, shared, confidence.
+def revisit_pairs(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, least: float = 3) -> DataFrame:
+    """idea_id, origin, doc_id, shared: later accepted documents with a focus on what a rejected idea is about.
 
     subjects(idea_id, origin, concept, weight), focuses(doc_id, concept),
-    meta(doc_id, created, outcome), cosine(idea_id, doc_id, cosine) and
-    cited(src, dst). Candidates share a concept; dates, outcomes and cosines
-    thin them out before anything is grouped.
+    meta(doc_id, created, outcome). Weights, dates and outcomes thin both sides out
+    before they meet by concept; each pair comes once, so that what costs more,
+    such as a cosine, is computed for these only.
     """
     origin = meta.select(F.col("doc_id").alias("origin"), day("created").alias("_since"))
     later = focuses.join(meta.where("outcome = 'accepted'").select("doc_id", day("created").alias("_day")), "doc_id")
     pairs = subjects.where(F.col("weight") >= least).join(origin, "origin").join(later, "concept").where("_day > _since and doc_id <> origin")
+    return pairs.groupBy("idea_id", "origin", "doc_id").agg(F.array_sort(F.collect_set("concept")).alias("shared"))
+
+
+def revisits(pairs: DataFrame, cosine: DataFrame, cited: DataFrame, strong: float = 0.30, aware: float = 0.15) -> DataFrame:
+    """revisit_pairs(), cosine(idea_id, doc_id, cosine), cited(src, dst) -> rejected ideas taken up later: idea_id, doc_id, cosine, shared, confidence."""
     close = pairs.join(cosine.where(F.col("cosine") >= aware).select("idea_id", "doc_id", "cosine"), ["idea_id", "doc_id"])
     knows = cited.select(F.col("src").alias("doc_id"), F.col("dst").alias("origin")).distinct().withColumn("_aware", F.lit(True))
     close = close.join(knows, ["doc_id", "origin"], "left").where((F.col("cosine") >= strong) | F.col("_aware"))
-    found = close.groupBy("idea_id", "doc_id").agg(F.max("cosine").alias("cosine"), F.array_sort(F.collect_set("concept")).alias("shared"))
-    best = found.groupBy("idea_id").agg(F.min_by(F.struct("doc_id", "cosine", "shared"), F.struct(-F.col("cosine"), F.col("doc_id"))).alias("b"))
+    best = close.groupBy("idea_id").agg(F.min_by(F.struct("doc_id", "cosine", "shared"), F.struct(-F.col("cosine"), F.col("doc_id"))).alias("b"))
     return best.select("idea_id", "b.doc_id", F.round("b.cosine", 3).alias("cosine"), "b.shared", F.round(F.least(F.lit(0.9), 0.4 + F.col("b.cosine")), 3).alias("confidence"))
 
 

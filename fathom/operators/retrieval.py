@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokens
+from ..functions.text import STOP_WORDS, stem
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", stop_words=STOP_WORDS) -> DataFrame:
     """(key, text) -> key, term, tf."""
-    return docs.select(key, F.explode(tokens(text, stop_words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    text = F.col(text) if isinstance(text, str) else text
+    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_][a-z0-9_]+"), F.lit(0))).alias("w")).select(key, F.btrim("w", F.lit("_")).alias("w"))
+    kept = words.where((F.char_length("w") >= 3) & ~F.col("w").isin(*stop_words))
+    return kept.select(key, stem(F.col("w")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def weighted_text(*fields: tuple[str, int]) -> Column:
@@ -53,6 +56,13 @@ class TfIdf:
         return q.join(self.vectors, "term").select(key, self.key, "term", (F.col("_q") * F.col("weight")).alias("product"))
 
 
+def pair_cosines(index: TfIdf, inputs: DataFrame, pairs: DataFrame, key: str = "input_id") -> DataFrame:
+    """pairs(key, doc_id) -> the same with cosine, for these pairs only; those without a common term are left out."""
+    q = pairs.select(key, index.key).distinct().join(index.query_vectors(inputs, key).withColumnRenamed("weight", "_q"), key)
+    both = q.join(index.vectors, [index.key, "term"])
+    return both.groupBy(key, index.key).agg(F.sum(F.col("_q") * F.col("weight")).alias("cosine"))
+
+
 def cosines(products: DataFrame, keys: list[str]) -> DataFrame:
     """Sum and largest single product for each pair."""
     return products.groupBy(*keys).agg(F.sum("product").alias("cosine"), F.max("product").alias("top_product"))
@@ -131,21 +141,20 @@ def blended(concept: DataFrame, cosine: DataFrame, weights: DataFrame, named: Da
 
 
 def score_documents(mixed: DataFrame, k: int | None = 10, above: float = 0.05, exclude: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """blended -> input_id, key, score, concept_score, cosine, via, rank: above the floor, rounded, then ranked."""
+    """blended -> input_id, key, score, concept_score, cosine, via, rank: above the floor, rounded, then ranked; k = None: all, unranked."""
     if exclude is not None:
         mixed = mixed.join(exclude.select("input_id", key), ["input_id", key], "left_anti")
     kept = mixed.where(F.col("raw_score") > above).withColumn("score", F.round("raw_score", 3)).withColumn("concept_score", F.round("concept_score", 3)).withColumn("cosine", F.round("cosine", 3)).drop("raw_score")
-    ranked = top_k(kept, k if k else 2**31 - 1, "input_id", [F.desc("score"), F.asc(key)])
-    return ranked
+    return top_k(kept, k, "input_id", [F.desc("score"), F.asc(key)]) if k else kept
 
 
 def propagated(scored: DataFrame, edges: DataFrame, k: int | None = None, seeds: int = 5, spread: float = 0.25, key: str = "doc_id") -> DataFrame:
-    """Each input's first `seeds` documents pass a share of their score along their edges(src, dst); parallel edges count each."""
-    first = scored.where(F.col("rank") <= seeds).select("input_id", F.col(key).alias("src"), "score")
+    """Each input's first `seeds` documents pass a share of their score along their edges(src, dst); parallel edges count each. k = None: all, unranked."""
+    first = top_k(scored, seeds, "input_id", [F.desc("score"), F.asc(key)]).select("input_id", F.col(key).alias("src"), "score")
     passed = first.join(edges.select("src", "dst"), "src").groupBy("input_id", F.col("dst").alias(key)).agg(F.sum(spread * F.col("score")).alias("propagated"))
     joined = scored.select("input_id", key, "score").join(passed, ["input_id", key], "full_outer").na.fill(0.0, ["score", "propagated"])
     out = joined.withColumn("score", F.round(F.col("score") + F.col("propagated"), 3)).withColumn("propagated", F.round("propagated", 6))
-    return top_k(out, k if k else 2**31 - 1, "input_id", [F.desc("score"), F.asc(key)])
+    return top_k(out, k, "input_id", [F.desc("score"), F.asc(key)]) if k else out
 
 
 def broad_wording(cosine: Column | str, top_product: Column | str, least: float = 0.25, share: float = 0.75) -> Column:

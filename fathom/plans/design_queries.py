@@ -32,16 +32,16 @@ def design_documents(spark, sf_dir):
         F.lit("Doc: "), n(k), F.lit("\nTitle: On "), "source", F.lit(" and "), "lang", F.lit("\nStatus: "), status, F.lit("\nType: Standards Track\nCreated: "), created,
         F.lit("\nAuthor: Ann "), "source", F.lit(" <"), "source", F.lit("@example.org>,\n  Bob "), "lang", F.lit("\nRequires: "), n(F.floor(k / 2)), F.lit("\nDiscussions-To: mail.example.org\n\n"),
     )
-    idea = F.concat(F.lit("We rejected "), "source", F.lit(" because it is slow, see doc "), n(F.floor(k / 3) % 10000), F.lit(". However the reader may find it confusing and costly."))
+    idea = F.concat(F.lit("We rejected "), "source", F.lit(" because it is slow, see doc "), n(F.floor(k / 3)), F.lit(". However the reader may find it confusing and costly."))
     body = F.concat(F.lit("Abstract\n========\n\n"), "text", F.lit("\n\nRejected Ideas\n==============\n\nUse "), "lang", F.lit(" instead\n--------------\n\n"), idea, F.lit("\n"))
     return corpus.documents(d.select(F.concat(head, body).alias("raw")))
 
 
 TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-IDEA = "'We rejected ' || source || ' because it is slow, see doc ' || ((doc_id // 3) % 10000) || '. However the reader may find it confusing and costly.'"
+IDEA = "'We rejected ' || source || ' because it is slow, see doc ' || (doc_id // 3) || '. However the reader may find it confusing and costly.'"
 
 
-@query("""SELECT doc_id, 'On ' || source || ' and ' || lang AS title, 'Ann ' || source || ' <' || source || '@example.org>, Bob ' || lang AS author, 10 AS n FROM (SELECT * FROM documents)""".replace("10 AS n", "8 AS n"))
+@query("""SELECT doc_id, 'On ' || source || ' and ' || lang AS title, 'Ann ' || source || ' <' || source || '@example.org>, Bob ' || lang AS author, 8 AS n FROM documents""")
 def b1_headers(spark, sf_dir):
     h = F.col("headers")
     return design_documents(spark, sf_dir).select("doc_id", h["Title"].alias("title"), h["Author"].alias("author"), F.size(h).alias("n"))
@@ -56,10 +56,12 @@ def b2_b3_sections(spark, sf_dir):
     return found.select("doc_id", "ord", "last", "level", "title", F.array_join("path", " / ").alias("path"), F.md5("own_text").alias("digest"), "kind")
 
 
-@query(f"""SELECT doc_id, 2 AS ord, md5(chr(10) || 'Use ' || lang || ' instead' || chr(10) || {IDEA}) AS digest FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, {TRIMMED} AS own, chr(10) || 'Use ' || lang || ' instead' || chr(10) || {IDEA} AS low FROM documents)
+SELECT doc_id, 2 AS ord, md5(low) AS digest FROM t UNION ALL SELECT doc_id, 1, md5(own) FROM t UNION ALL SELECT doc_id, 3, md5({IDEA}) FROM documents
+UNION ALL SELECT doc_id, 0, md5(chr(10) || 'Abstract' || chr(10) || own || chr(10) || 'Rejected Ideas' || low) FROM t""")
 def b4_subtree_texts(spark, sf_dir):
     found = sections(design_documents(spark, sf_dir), LEXICON.section_kinds)
-    return subtree_texts(found).where("ord = 2").select("doc_id", "ord", F.md5("full_text").alias("digest"))
+    return subtree_texts(found).select("doc_id", "ord", F.md5("full_text").alias("digest"))
 
 
 @query(f"""SELECT doc_id, 'Abstract' AS title, md5({TRIMMED}) AS digest FROM documents""")
@@ -88,14 +90,21 @@ def d4_persons(spark, sf_dir):
     return found.select("id", "name", F.array_join("emails", ",").alias("emails"))
 
 
+def decided_documents(spark, sf_dir):
+    """With a section on the resolution in place of the ideas."""
+    of = lambda k: F.regexp_extract(F.col("headers")["Title"], r"^On (\S+) and (\S+)$", k)
+    raw = F.concat(F.regexp_replace("raw", r"(?s)\n\nRejected Ideas\n.*", ""), F.lit("\n\nResolution\n==========\n\nBecause "), of(1), F.lit(" would be too costly for "), of(2), F.lit(".\n"))
+    return corpus.documents(design_documents(spark, sf_dir).select(raw.alias("raw")))
+
+
+def _decisions(spark, sf_dir):
+    docs = decided_documents(spark, sf_dir)
+    return docs, relations.decisions(docs, sections(docs, LEXICON.section_kinds), LEXICON)
+
+
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Final' ELSE 'Rejected' END AS status, CASE doc_id % 3 WHEN 0 THEN 'accepted' ELSE 'failed' END AS outcome, 'Because ' || source || ' would be too costly for ' || lang || '.' AS rationale FROM documents WHERE doc_id % 3 < 2""")
 def d5_decisions(spark, sf_dir):
-    """With a section on the resolution after the rest."""
-    k = F.col("doc_id")
-    raw = F.concat(F.regexp_replace("raw", r"(?s)\n\nRejected Ideas\n.*", ""), F.lit("\n\nResolution\n==========\n\nBecause "), F.regexp_extract(F.col("headers")["Title"], r"^On (\S+) and (\S+)$", 1), F.lit(" would be too costly for "), F.regexp_extract(F.col("headers")["Title"], r"^On (\S+) and (\S+)$", 2), F.lit(".\n"))
-    docs = corpus.documents(design_documents(spark, sf_dir).where(k.isNotNull()).select(raw.alias("raw")))
-    found = relations.decisions(docs, sections(docs, LEXICON.section_kinds), LEXICON)
-    return found.select("doc_id", "status", "outcome", "rationale")
+    return _decisions(spark, sf_dir)[1].select("doc_id", "status", "outcome", "rationale")
 
 
 @query("SELECT doc_id, 3 AS ord, 2 AS container FROM documents")
@@ -111,19 +120,22 @@ def d11_ideas(spark, sf_dir):
     return ideas.select("idea_id", "doc_id", "title", "kind", "summary", "reason", "year")
 
 
-@query(f"""SELECT 'idea:' || doc_id || ':use-' || lang || '-instead' AS src, 'concern:' || c AS dst, 0.6 AS confidence, 'rejected_idea' AS context, CASE c WHEN 'cost' THEN {IDEA.split(". However")[0] + ".'"} ELSE 'However the reader may find it confusing and costly.' END AS evidence FROM documents, (SELECT unnest(['cost', 'clarity']) AS c)""")
+@query(f"""SELECT 'idea:' || doc_id || ':use-' || lang || '-instead' AS src, 'concern:' || c AS dst, 0.6 AS confidence, 'rejected_idea' AS context, CASE c WHEN 'cost' THEN {IDEA.split(". However")[0] + ".'"} ELSE 'However the reader may find it confusing and costly.' END AS evidence FROM documents, (SELECT unnest(['cost', 'clarity']) AS c)
+UNION ALL SELECT 'doc:' || doc_id, 'concern:cost', 0.7, 'decision', 'Because ' || source || ' would be too costly for ' || lang || '.' FROM documents WHERE doc_id % 3 = 1
+UNION ALL SELECT 'doc:' || doc_id, 'concern:breakage', 0.5, 'compat', 'Old calls of ' || source || ' may break.' FROM documents""")
 def d13_raises(spark, sf_dir):
+    """Concerns of ideas, of failed decisions, and of sections on compatibility."""
     docs = design_documents(spark, sf_dir)
     found = expand.cut(sections(docs, LEXICON.section_kinds), "sections")
     ideas = relations.ideas(found, relations.document_table(docs, found, LEXICON), LEXICON)
-    return relations.idea_edges(ideas, LEXICON).where("type = 'RAISES'").select("src", "dst", "confidence", "context", "evidence")
+    own = corpus.documents(docs.select(F.concat(F.regexp_replace("raw", r"(?s)\n\nRejected Ideas\n.*", ""), F.lit("\n\nCompatibility\n=============\n\nOld calls of "), F.regexp_extract(F.col("headers")["Title"], r"^On (\S+) ", 1), F.lit(" may break.\n")).alias("raw")))
+    every = relations.idea_edges(ideas, LEXICON).unionByName(relations.decision_edges(*_decisions(spark, sf_dir), LEXICON)).unionByName(relations.section_concerns(sections(own, LEXICON.section_kinds), LEXICON))
+    return every.where("type = 'RAISES'").select("src", "dst", "confidence", "context", "evidence")
 
 
-@query("""SELECT doc_id, 'Rejected' AS status, NULL::VARCHAR AS rationale FROM documents WHERE doc_id % 3 = 1""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Final' ELSE 'Rejected' END AS status, 'Because ' || source || ' would be too costly for ' || lang || '.' AS rationale FROM documents WHERE doc_id % 3 < 2""")
 def f7_reported_decisions(spark, sf_dir):
-    docs = design_documents(spark, sf_dir)
-    decided = relations.decisions(docs, sections(docs, LEXICON.section_kinds), LEXICON)
-    return expand.reported_decisions(decided).select("doc_id", "status", "rationale")
+    return expand.reported_decisions(_decisions(spark, sf_dir)[1]).select("doc_id", "status", "rationale")
 
 
 def w1_build_graph(spark, sf_dir):

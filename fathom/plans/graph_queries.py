@@ -149,7 +149,7 @@ mixed AS (SELECT item_id, doc_id, CASE WHEN EXISTS (SELECT 1 FROM weights w WHER
 scored AS (SELECT item_id, doc_id, round(raw, 3) AS score, round(concept, 3) AS concept_score, round(cosine, 3) AS cosine, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 3) DESC, doc_id) AS rank FROM mixed WHERE raw > 0.05)"""
 
 
-def _blended(spark, sf_dir, exclude=False):
+def _blended(spark, sf_dir):
     docs, inputs = table(spark, sf_dir, "documents"), _inputs(spark, sf_dir)
     langs = docs.select(F.col("lang").alias("concept")).distinct()
     i = F.col("input_id")
@@ -207,6 +207,17 @@ def d6_concept_scores(spark, sf_dir):
     return _kinded(spark, sf_dir)
 
 
+@query("""SELECT doc_id, concept, round(sum(weight), 6) AS weight, sum(n)::BIGINT AS n, max(headed) AS headed, max(titled) AS titled FROM (
+SELECT l_orderkey AS doc_id, p_brand AS concept, CASE WHEN l_linenumber = 1 THEN 6.0 * l_quantity ELSE CASE l_linenumber WHEN 2 THEN 3.0 WHEN 3 THEN 0.5 WHEN 4 THEN 0.0 ELSE CASE l_returnflag WHEN 'A' THEN 0.5 WHEN 'N' THEN 0.8 ELSE 0.3 END END * least(l_quantity, 8) END AS weight, l_quantity::BIGINT AS n, false AS headed, l_linenumber = 1 AS titled FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT l_orderkey, p_brand, 8.0, 0, true, false FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F') GROUP BY doc_id, concept""")
+def d6_default_scores(spark, sf_dir):
+    """With the library's own weights; a kind that has none counts as body."""
+    number = F.col("l_linenumber")
+    kind = F.when(number == 1, "title").when(number == 2, "abstract").when(number == 3, "decision").when(number == 4, "meta").when(F.col("l_returnflag") == "A", "compat").when(F.col("l_returnflag") == "N", "reference_impl").otherwise("rejected")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), F.col("p_brand").alias("concept"), kind.alias("kind"), F.col("l_quantity").cast("long").alias("n"), "l_linestatus")
+    return relations.concept_scores(lines.select("doc_id", "kind", "concept", "n"), lines.where("l_linestatus = 'F'").select("doc_id", "concept")).withColumn("weight", F.round("weight", 6))
+
+
 @query(f"""WITH {KINDED} SELECT doc_id, concept, round(weight / top, 3) AS share, (weight >= 0.35 * top AND weight >= 6 AND nth <= 4) OR titled OR (h >= 3 AND headed) AS focus FROM (
 SELECT *, max(weight) OVER (PARTITION BY doc_id) AS top, count(*) FILTER (WHERE headed) OVER (PARTITION BY doc_id) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, concept) AS nth FROM kinded)""")
 def d7_focus(spark, sf_dir):
@@ -270,7 +281,7 @@ def _revisits(spark, sf_dir):
     others = meta.select(F.col("doc_id").alias("other"), "customer")
     near = failed.join(others, "customer").select("idea_id", F.col("other").alias("doc_id"), (0.1 + 0.05 * ((F.col("doc_id") + F.col("other")) % 7)).alias("cosine"))
     cited = meta.select("doc_id", "customer").join(others, "customer").where((F.col("doc_id") + F.col("other")) % 2 == 0).select(F.col("other").alias("src"), F.col("doc_id").alias("dst"))
-    return relations.revisits(subjects, focused.where("focus").select("doc_id", "concept"), meta, near, cited)
+    return relations.revisits(relations.revisit_pairs(subjects, focused.where("focus").select("doc_id", "concept"), meta), near, cited)
 
 
 @query(f"WITH {REVISITS} SELECT idea_id, doc_id, round(cosine, 3) AS cosine, shared, round(least(0.9, 0.4 + cosine), 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY idea_id ORDER BY round(cosine, 9) DESC, doc_id) AS k FROM pairs) WHERE k = 1")
@@ -347,7 +358,7 @@ def f2_successors(spark, sf_dir):
 FOUND = f"""{META}, {LINKS}, {RANKED}, seeds AS (SELECT input_id, doc_id AS seed FROM ranked JOIN meta USING (doc_id) WHERE rank <= 3 AND outcome = 'accepted'), steps AS (SELECT DISTINCT src, dst FROM links WHERE type IN ('BUILDS_ON', 'REQUIRES')),
 one AS (SELECT input_id, seed, dst, seed AS via, 1 AS depth FROM seeds JOIN steps ON seed = src WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.input_id = seeds.input_id AND x.seed = dst)),
 ways AS (SELECT * FROM one UNION ALL SELECT input_id, seed, steps.dst, one.dst, 2 FROM one JOIN steps ON one.dst = src WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.input_id = one.input_id AND x.seed = steps.dst)),
-best AS (SELECT input_id, dst AS doc_id, min(depth) AS depth, count(DISTINCT seed) AS reach, first(via ORDER BY depth, seed, via) AS via FROM ways GROUP BY input_id, dst),
+best AS (SELECT input_id, dst AS doc_id, min(depth) AS depth, count(DISTINCT seed) AS reach, first(via ORDER BY depth, seed, via) AS via, first(seed ORDER BY depth, seed, via) AS seed FROM ways GROUP BY input_id, dst),
 foundations AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY depth, reach DESC, doc_id) AS rank FROM best) WHERE rank <= 5)"""
 
 
@@ -357,9 +368,9 @@ def _foundations(spark, sf_dir):
     return expand.foundations(expand.cut(seeds, "seeds"), _links(spark, sf_dir), meta)
 
 
-@query(f"WITH {FOUND} SELECT input_id, doc_id, depth, reach, via, rank FROM foundations")
+@query(f"WITH {FOUND} SELECT input_id, doc_id, depth, reach, via, seed || CASE WHEN depth = 2 THEN '>' || via ELSE '' END || '>' || doc_id AS path, rank FROM foundations")
 def f3_foundations(spark, sf_dir):
-    return _foundations(spark, sf_dir)
+    return _foundations(spark, sf_dir).withColumn("path", F.array_join(F.transform("path", lambda d: d.cast("string")), ">"))
 
 
 @query(f"""WITH {RANKED}, sums AS (SELECT input_id, l_suppkey AS person, sum(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END * score) AS s, max(year(l_shipdate)) AS last_year, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS docs FROM ranked JOIN lineitem ON l_orderkey = doc_id WHERE rank <= 6 GROUP BY input_id, l_suppkey)
@@ -403,7 +414,7 @@ def f8_venue(spark, sf_dir):
     return expand.venue(_ranked(spark, sf_dir, 6), venues, meta)
 
 
-@query(f"""WITH {FOUND}, every AS (SELECT input_id, doc_id, 'foundation of doc ' || via AS why, 0 AS o FROM foundations UNION ALL SELECT input_id, doc_id, 'closest prior proposal' || CASE WHEN outcome = 'failed' THEN ' (read why it failed)' ELSE '' END, 1 FROM ranked JOIN meta USING (doc_id) WHERE rank <= 3)
+@query(f"""WITH {FOUND}, every AS (SELECT input_id, doc_id, 'doc ' || via || ' rests on it' AS why, 0 AS o FROM foundations UNION ALL SELECT input_id, doc_id, 'among the nearest' || CASE WHEN outcome = 'failed' THEN ', and turned down' ELSE '' END, 1 FROM ranked JOIN meta USING (doc_id) WHERE rank <= 3)
 SELECT input_id, doc_id, why, row_number() OVER (PARTITION BY input_id ORDER BY created, doc_id) AS pos FROM (SELECT input_id, doc_id, first(why ORDER BY o) AS why FROM every GROUP BY input_id, doc_id) JOIN meta USING (doc_id)""")
 def f9_reading_list(spark, sf_dir):
     return expand.reading_list(_ranked(spark, sf_dir, 3), _foundations(spark, sf_dir), _meta(spark, sf_dir))
@@ -429,17 +440,23 @@ def f10_verdicts(spark, sf_dir):
     return _verdicts(spark, sf_dir)
 
 
-@query(f"""WITH {LINEAGE}, {LINKS}, {VERSIONS}, chosen AS (SELECT n_nationkey AS input_id, p_type AS concept FROM nation JOIN (SELECT DISTINCT p_type FROM part) ON n_nationkey % 7 = length(p_type) % 7)
+@query(f"""WITH RECURSIVE {LINEAGE}, {LINKS}, {VERSIONS}, later AS (SELECT doc_id, next AS successor FROM versions UNION SELECT l.doc_id, v.next FROM later l JOIN versions v ON l.successor = v.doc_id),
+weights AS (SELECT n_nationkey AS input_id, p_type AS concept, length(p_type) % 4 + n_nationkey AS weight FROM nation JOIN (SELECT DISTINCT p_type FROM part) ON n_nationkey % 7 = length(p_type) % 7 WHERE n_nationkey % 5 > 0),
+tops AS (SELECT input_id, concept FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY weight DESC, concept) AS k FROM weights) WHERE k <= 3),
+chosen AS (SELECT * FROM tops UNION ALL SELECT n_nationkey, p_type FROM nation JOIN (SELECT DISTINCT p_type FROM part) ON (n_nationkey + 1) % 7 = length(p_type) % 7 WHERE n_nationkey NOT IN (SELECT input_id FROM tops)),
+added AS (SELECT DISTINCT input_id, i.concept FROM chosen JOIN strengths s USING (concept) JOIN later l ON l.doc_id = s.doc_id JOIN lineage i ON i.doc_id = l.successor AND i.relation = 'INTRODUCES' WHERE strength >= 0.8),
+every AS (SELECT input_id, concept FROM chosen UNION SELECT input_id, concept FROM added)
 SELECT input_id, doc_id, string_agg(concept, ', ' ORDER BY concept) AS concepts, string_agg(DISTINCT relation, ', ' ORDER BY relation) AS relations, row_number() OVER (PARTITION BY input_id ORDER BY any_value(created), doc_id) AS pos
-FROM chosen JOIN strengths USING (concept) JOIN lineage USING (concept, doc_id) JOIN meta USING (doc_id) WHERE strength >= 0.8 AND relation <> 'MENTIONS' GROUP BY input_id, doc_id""")
+FROM every JOIN strengths USING (concept) JOIN lineage USING (concept, doc_id) JOIN meta USING (doc_id) WHERE strength >= 0.8 AND relation <> 'MENTIONS' GROUP BY input_id, doc_id""")
 def f14_timeline(spark, sf_dir):
-    """No successor introduces anything here, so the chosen concepts are all: the first three by weight."""
+    """The first three concepts by weight, others for inputs without any, and those that successors introduced."""
     lineage = expand.cut(_lineage(spark, sf_dir), "lineage")
     concepts = table(spark, sf_dir, "part").select(F.col("p_type").alias("concept")).distinct()
-    weights = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("input_id")).join(concepts, F.col("input_id") % 7 == F.char_length("concept") % 7).withColumn("weight", F.lit(1.0))
-    none = weights.select("input_id", "concept").where("false")
-    later = _links(spark, sf_dir).where("false").select(F.col("src").alias("doc_id"), F.col("dst").alias("successor"))
-    _, line = expand.timeline(weights, none, _strengths(lineage), lineage, later, _meta(spark, sf_dir), most=100)
+    nations, i = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("input_id")), F.col("input_id")
+    weights = nations.where(i % 5 > 0).join(concepts, i % 7 == F.char_length("concept") % 7).withColumn("weight", F.char_length("concept") % 4 + i)
+    fallback = nations.join(concepts, (i + 1) % 7 == F.char_length("concept") % 7)
+    later = expand.successors(expand.current_versions(_links(spark, sf_dir)))
+    _, line = expand.timeline(weights, fallback, _strengths(lineage), lineage, later, _meta(spark, sf_dir))
     return line.select("input_id", "doc_id", "concepts", "relations", "pos")
 
 
@@ -463,6 +480,57 @@ def f16_neighbourhood(spark, sf_dir):
     return expand.neighbourhood(nodes, every, "doc:123")
 
 
+@query(f"""WITH {LINKS} SELECT 'out' AS direction, type, 'node:' || dst AS other, 'Order ' || dst AS label FROM links WHERE src = (SELECT max(o_orderkey) FROM orders) UNION ALL SELECT 'in', type, 'node:' || src, 'Order ' || src FROM links WHERE dst = (SELECT max(o_orderkey) FROM orders)""")
+def f16_neighbourhood_by_prefix(spark, sf_dir):
+    """The last order's node alone has an id that starts as asked."""
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("_last"))  # one row
+    name = lambda c: F.when(F.col(c) == F.col("_last"), F.concat(F.lit("last:"), F.col(c).cast("string"))).otherwise(F.concat(F.lit("node:"), F.col(c).cast("string")))
+    nodes = _meta(spark, sf_dir).join(F.broadcast(last)).select(name("doc_id").alias("id"), F.col("title").alias("label"))
+    every = _links(spark, sf_dir).join(F.broadcast(last)).select(name("src").alias("src"), name("dst").alias("dst"), "type")
+    return expand.neighbourhood(nodes, every, "last:")
+
+
+@query(f"""WITH {RANKED}, hits AS (SELECT input_id, doc_id, rank, 'left out by ' || doc_id || ': ' || CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority ELSE 'Order ' || doc_id END AS w FROM ranked JOIN orders ON o_orderkey = doc_id WHERE rank <= 6 AND score >= 0.35 AND o_orderstatus = 'O')
+SELECT input_id, string_agg(w, '|' ORDER BY rank) AS warnings FROM hits GROUP BY input_id""")
+def f11_non_goal_warnings(spark, sf_dir):
+    """Open orders are non-goals of their own; urgent ones have a reason, others a summary only."""
+    meta = _meta(spark, sf_dir)
+    ideas = meta.select(F.concat(F.lit("idea:"), F.col("doc_id").cast("string")).alias("idea_id"), "doc_id", F.when(F.col("status") == "O", "non_goal").otherwise("alternative").alias("kind"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority")).alias("reason"), F.col("title").alias("summary"))
+    ranked = _ranked(spark, sf_dir, 6).select("input_id", F.concat(F.lit("idea:"), F.col("doc_id").cast("string")).alias("idea_id"), "score", "rank")
+    return expand.non_goal_warnings(ranked, ideas).select("input_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+CLOSEST = f"""{LINEAGE}, {LINKS}, {VERSIONS}, {RANKED}, newer AS (SELECT doc_id, string_agg(DISTINCT next::VARCHAR, ',' ORDER BY next::VARCHAR) AS superseded_by FROM versions GROUP BY doc_id),
+said AS (SELECT input_id, doc_id, string_agg(CASE relation WHEN 'MENTIONS' THEN 'mentions' ELSE lower(relation) END || ' ' || concept, '|' ORDER BY relation = 'MENTIONS', concept) AS said FROM (SELECT *, row_number() OVER (PARTITION BY input_id, doc_id, relation = 'MENTIONS' ORDER BY concept) AS n FROM ranked JOIN lineage USING (doc_id) WHERE rank <= 5) WHERE relation <> 'MENTIONS' OR n <= 2 GROUP BY input_id, doc_id),
+closest AS (SELECT input_id, rank, doc_id, 'Order ' || doc_id AS title, o_orderstatus AS status, year(o_orderdate) AS year, score, coalesce(said, '') || CASE WHEN doc_id % 2 = 0 THEN CASE WHEN said IS NULL THEN '' ELSE '|' END || 'same words: ' || o_orderpriority || ', ' || o_orderstatus ELSE '' END AS why, coalesce(superseded_by, '') AS superseded_by, CASE WHEN o_orderstatus = 'P' THEN 'P/' || o_orderpriority END AS decision
+FROM ranked JOIN orders ON o_orderkey = doc_id LEFT JOIN said USING (input_id, doc_id) LEFT JOIN newer USING (doc_id) WHERE rank <= 5)"""
+
+
+def _closest(spark, sf_dir):
+    meta, ranked = _meta(spark, sf_dir), expand.cut(_ranked(spark, sf_dir, 5), "ranked")
+    pairs = ranked.select("input_id", "doc_id").join(_lineage(spark, sf_dir), "doc_id").select("input_id", "doc_id", "concept", "relation")
+    terms = ranked.where("doc_id % 2 = 0").join(meta, "doc_id").select("input_id", "doc_id", F.array("o_orderpriority", "status").alias("terms"))
+    told = meta.where("outcome = 'failed'").select("doc_id", "status", F.col("o_orderpriority").alias("rationale"), F.lit(None).cast("string").alias("resolution"))
+    return expand.closest(ranked, meta, pairs, terms, expand.current_versions(_links(spark, sf_dir)), told)
+
+
+@query(f"WITH {CLOSEST} SELECT * FROM closest")
+def f12_closest_with_reasons(spark, sf_dir):
+    newer = F.array_join(F.array_sort(F.transform("superseded_by", lambda d: d.cast("string"))), ",")
+    return _closest(spark, sf_dir).withColumn("why", F.array_join("why", "|")).withColumn("superseded_by", newer).withColumn("decision", F.concat_ws("/", "decision.status", "decision.rationale")).withColumn("decision", F.nullif("decision", F.lit("")))
+
+
+@query(f"""WITH {CLOSEST}, {VERDICTS.split(", tops AS", 1)[1].join(["tops AS", ""])}, close AS (SELECT input_id, count(*) AS n_close, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS close FROM closest GROUP BY input_id)
+SELECT c_custkey AS input_id, label, confidence, coalesce(n_close, 0) AS n_close, close FROM customer LEFT JOIN verdicts ON verdicts.input_id = c_custkey LEFT JOIN close ON close.input_id = c_custkey""")
+def f13_assessed(spark, sf_dir):
+    """One nested record for each customer, of verdicts and closest documents, flattened for comparison."""
+    customers, verdict = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_id")), _verdicts(spark, sf_dir)
+    parts = {"verdict": verdict.select("input_id", F.struct("label", "confidence").alias("verdict")), "closest": expand.gathered(_closest(spark, sf_dir), "closest", "rank")}
+    out = expand.assembled(customers, parts)
+    ids = F.array_join(F.transform("closest", lambda x: x["doc_id"].cast("string")), ",")
+    return out.select("input_id", "verdict.label", "verdict.confidence", F.coalesce(F.size("closest"), F.lit(0)).cast("long").alias("n_close"), ids.alias("close"))
+
+
 # --------------------------------------------------------------- evaluation
 
 SPLIT = f"""{META}, train AS (SELECT * FROM meta WHERE created < DATE '2000-01-01'), test AS (SELECT * FROM meta WHERE created >= DATE '2000-01-01')"""
@@ -478,45 +546,57 @@ def g1_temporal_split(spark, sf_dir):
 @query(f"""WITH {SPLIT}, {LINKS}, gold AS (SELECT DISTINCT src AS input_id, dst AS doc_id FROM links WHERE type IN ('BUILDS_ON', 'REQUIRES', 'REPLACES') AND dst IN (SELECT doc_id FROM train) AND src IN (SELECT doc_id FROM test))
 SELECT input_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS gold, 'Order an earlier proposal. See an earlier proposal' AS text FROM gold GROUP BY input_id""")
 def g2_holdout_cases(spark, sf_dir):
-    meta = _meta(spark, sf_dir).withColumn("title", F.concat(F.lit("Order doc "), (F.col("doc_id") % 9999).cast("string"))).withColumn("abstract", F.concat(F.lit("See DOC-"), (F.col("doc_id") % 999).cast("string")))
+    meta = _meta(spark, sf_dir).withColumn("title", F.concat(F.lit("Order doc "), F.col("doc_id").cast("string"))).withColumn("abstract", F.concat(F.lit("See DOC-"), (F.col("doc_id") % 999).cast("string")))
     train, test = evaluate.temporal_split(meta, "2000-01-01")
     inputs, gold = evaluate.holdout_cases(test, _links(spark, sf_dir), train, "doc")
     grouped = gold.groupBy("input_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("gold"))
     return grouped.join(inputs, "input_id")
 
 
-GOLD = f"""{TFIDF}, gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))), ranked AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 6) DESC, doc_id) AS rank FROM cos WHERE round(cosine, 6) > 0),
+GOLD = f"""{TFIDF}, gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, left(b.text, 60))), ranked AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 6) DESC, doc_id) AS rank FROM cos WHERE round(cosine, 6) > 0),
 cases AS (SELECT item_id, count(*) AS gold FROM gold GROUP BY item_id), per AS (SELECT c.item_id, any_value(c.gold) AS gold, count(*) FILTER (WHERE rank <= 5) / any_value(c.gold) AS r5, count(*) FILTER (WHERE rank <= 10) / any_value(c.gold) AS r10, coalesce(1 / min(rank), 0) AS rr, coalesce(string_agg(g.doc_id::VARCHAR, ',' ORDER BY g.doc_id) FILTER (WHERE rank <= 10), '') AS hits FROM cases c LEFT JOIN gold g USING (item_id) LEFT JOIN ranked r ON r.item_id = g.item_id AND r.doc_id = g.doc_id GROUP BY c.item_id)"""
 
 
 def _gold(spark, sf_dir):
-    """Documents that hold the first 60 characters of an item: found through the item's rarest start, not by all pairs."""
-    items = _inputs(spark, sf_dir).select("input_id", F.substring("text", 1, 60).alias("start"))
-    # a text that holds the start holds its words; the word pairs of both sides meet in a join
-    pair = F.regexp_extract("start", r"\s(\S+ \S+) ", 1)
-    items = items.withColumn("pair", pair)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    wanted = items.select("pair").distinct()
-    split = docs.select("doc_id", F.split(F.regexp_replace("text", r"\s", " "), " ").alias("w")).where("size(w) > 1")
-    pairs = split.select("doc_id", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))).alias("x"))
-    hits = pairs.select("doc_id", F.concat_ws(" ", "x.a", "x.b").alias("pair")).join(wanted, "pair", "left_semi").distinct()
-    both = hits.join(items, "pair").join(docs, "doc_id").where(F.contains("text", F.col("start")))
-    return both.select("input_id", "doc_id").distinct()
+    """Documents that hold the first 60 characters of an item."""
+    return holders(_inputs(spark, sf_dir).select("input_id", F.substring("text", 1, 60).alias("start")), table(spark, sf_dir, "documents"))
+
+
+def holders(items, docs):
+    """items(input_id, start), docs(doc_id, text) -> input_id, doc_id where the text holds the start, which isn't empty.
+
+    A text that holds a start holds the words between its blanks: two with one
+    blank between them, if it has such, else one. These meet the texts' in a join,
+    and what meets is tested. Starts without any, which are short or odd, are
+    tested on every text.
+    """
+    pair, word = F.regexp_extract("start", r"\s(\S+ \S+)\s", 1), F.regexp_extract("start", r"\s(\S+)\s", 1)
+    items = items.where("start <> ''").withColumn("key", F.when(pair != "", pair).otherwise(word))
+    docs = docs.select("doc_id", "text")
+    split = docs.select("doc_id", F.split(F.regexp_replace("text", r"\s", " "), " ").alias("w"))
+    pairs = F.transform(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w))").alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+    keys = split.select("doc_id", F.explode(F.concat(F.col("w"), F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("key"))
+    hits = keys.join(items.select("key").where("key <> ''").distinct(), "key", "left_semi").distinct()
+    some = hits.join(items, "key").join(docs, "doc_id").where(F.contains("text", F.col("start")))
+    rest = docs.join(items.where("key = ''"), F.contains("text", F.col("start")))
+    return some.select("input_id", "doc_id").union(rest.select("input_id", "doc_id")).distinct()
 
 
-def _search_all(spark, sf_dir):
-    found = retrieval.cosines(_index(spark, sf_dir).products(_inputs(spark, sf_dir)), ["input_id", "doc_id"]).withColumn("cosine", F.round("cosine", 6)).where("cosine > 0")
-    return retrieval.top_k(found, 2**31 - 1, "input_id", [F.desc("cosine"), F.asc("doc_id")])
+def _gold_ranks(spark, sf_dir, gold):
+    found = retrieval.cosines(_index(spark, sf_dir).products(_inputs(spark, sf_dir)), ["input_id", "doc_id"]).withColumn("score", F.round("cosine", 6)).where("score > 0")
+    return evaluate.gold_ranks(expand.cut(found.select("input_id", "doc_id", "score"), "scores"), gold)
 
 
 @query(f"WITH {GOLD} SELECT count(*) AS cases, round(avg(round(r5, 6)), 6) AS recall_5, round(avg(round(r10, 6)), 6) AS recall_10, round(avg(round(rr, 6)), 6) AS mrr FROM per")
 def g3_ranking_metrics(spark, sf_dir):
-    return evaluate.ranking_metrics(_search_all(spark, sf_dir), expand.cut(_gold(spark, sf_dir), "gold"))
+    gold = expand.cut(_gold(spark, sf_dir), "gold")
+    return evaluate.ranking_metrics(_gold_ranks(spark, sf_dir, gold), gold)
 
 
 @query(f"WITH {GOLD} SELECT item_id, gold, hits, round(r10, 6) AS recall_10, round(rr, 6) AS rr FROM per")
 def g6_per_case(spark, sf_dir):
-    found = evaluate.per_case(_search_all(spark, sf_dir), expand.cut(_gold(spark, sf_dir), "gold"))
+    gold = expand.cut(_gold(spark, sf_dir), "gold")
+    found = evaluate.per_case(_gold_ranks(spark, sf_dir, gold), gold)
     hits = F.array_join(F.transform("hits", lambda d: d.cast("string")), ",")
     return found.select(F.col("input_id").alias("item_id"), "gold", hits.alias("hits"), "recall_10", "rr")
 

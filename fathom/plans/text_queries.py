@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..session import shared_dir
 from ..sources import corpus
 from .registry import query, table
 
@@ -47,6 +48,14 @@ def terms_sql(words: str, key: str) -> str:
      FROM ({words}) WHERE length(w) >= 3 AND w NOT IN ({STOPS})"""
 
 
+@query(r"""SELECT doc_id, md5(chr(10) || lang || ' and ' || source || ' in ' || lang || ', ' || source || ' at site: 2*3 ' || regexp_replace(translate(text, '*`:<_', '+++++'), '[ \t]+', ' ', 'g')) AS digest FROM documents""")
+def b6_strip_markup(spark, sf_dir):
+    """Each document behind a directive, a role with a target, a literal, bold, italic and a link."""
+    own = F.translate("text", "*`:<_", "+++++")
+    raw = F.concat(F.lit(".. note:: gone\n:ref:`"), "lang", F.lit(" <t>` and ``"), "source", F.lit("`` in  **"), "lang", F.lit("**, *"), "source", F.lit("* at `site <http://x>`_: 2*3\t "), own)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.plain(raw)).alias("digest"))
+
+
 @query(f"""SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {PARAGRAPHS.format(t="replace(text, '*', '+')")} AS p FROM documents)""")
 def b7_paragraphs(spark, sf_dir):
     p = tx.paragraphs(F.translate("text", "*", "+"))
@@ -108,6 +117,13 @@ def b15_outcome(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.outcome("o_orderstatus", ["F"], ["P"]).alias("outcome"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'failed' ELSE 'open' END AS outcome FROM orders""")
+def b15_default_outcome(spark, sf_dir):
+    """With the sets of the default lexicon: what was superseded had been accepted."""
+    status = F.when(F.col("o_orderstatus") == "F", "Superseded").when(F.col("o_orderstatus") == "P", "Withdrawn").otherwise("Deferred")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.outcome(status, lx.DEFAULT.accepted, lx.DEFAULT.failed).alias("outcome"))
+
+
 KINDS = {"chat": r"^user$", "reply": r"assist", "rules": r"^system$"}
 
 
@@ -122,7 +138,7 @@ def b17_generic_heading(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.generic_heading("p_name", ["small", "red", "ring", "widget"]).alias("generic"))
 
 
-@query(r"""SELECT s_suppkey, regexp_replace('see ' || s_name || ', supplier ' || s_suppkey || ' or SUPPLIER-' || (s_suppkey % 100) || ' again', '(?i)\bsupplier[\s-]*\d{1,4}\b', 'an earlier proposal', 'g') AS masked FROM supplier""")
+@query(r"""SELECT s_suppkey, regexp_replace('see ' || s_name || ', supplier ' || s_suppkey || ' or SUPPLIER-' || (s_suppkey % 100) || ' again', '(?i)\bsupplier[\s-]*\d+\b', 'an earlier proposal', 'g') AS masked FROM supplier""")
 def b18_mask_references(spark, sf_dir):
     text = F.concat(F.lit("see "), "s_name", F.lit(", supplier "), F.col("s_suppkey").cast("string"), F.lit(" or SUPPLIER-"), (F.col("s_suppkey") % 100).cast("string"), F.lit(" again"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", tx.mask_references(text, "supplier").alias("masked"))
@@ -171,15 +187,15 @@ def c6_detect_intents(spark, sf_dir):
 
 
 @query(r"""SELECT page_id, r AS doc_id, count(*) AS n FROM (
-SELECT page_id, unnest(list_concat(['12'], regexp_extract_all(regexp_replace(url, '/(fr|en|de|es)/', ' PAGE ', 'g'), '(?i)\bpage[\s-]*0*(\d{1,4})\b', 1)))::BIGINT AS r FROM pages) WHERE r <> 0 GROUP BY page_id, r""")
+SELECT page_id, unnest(list_concat(['12'], regexp_extract_all(regexp_replace(url, '/(fr|en|de|es)/', ' PAGE ', 'g'), '(?i)\bpage[\s-]*0*(\d+)\b', 1)))::BIGINT AS r FROM pages) WHERE r <> 0 GROUP BY page_id, r""")
 def c7_references(spark, sf_dir):
     cited = F.concat(F.regexp_replace("url", "/(fr|en|de|es)/", " PAGE "), F.lit(" as in :page:`12`"))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(tx.references(cited, "page")).alias("doc_id")).groupBy("page_id", "doc_id").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT s_suppkey, array_to_string(list_sort(list_distinct([s_suppkey % 9000, 12])), ',') AS named FROM supplier""")
+@query(r"""SELECT s_suppkey, array_to_string(list_sort(list_distinct([s_suppkey, 12])), ',') AS named FROM supplier""")
 def c8_mentions(spark, sf_dir):
-    text = F.concat(F.lit("Like Doc 0012, doc-"), (F.col("s_suppkey") % 9000).cast("string"), F.lit(" and DOC 12"))
+    text = F.concat(F.lit("Like Doc 0012, doc-"), F.col("s_suppkey").cast("string"), F.lit(" and DOC 12"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(F.transform(tx.mentions(text, "doc"), lambda x: x.cast("string")), ",").alias("named"))
 
 
@@ -222,8 +238,6 @@ def a4_read_cases(spark, sf_dir):
 
 def scratch(spark, name: str) -> str:
     """A new place in the folder that driver and executors share."""
-    import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
