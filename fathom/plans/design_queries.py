@@ -58,7 +58,7 @@ def b2_b3_sections(spark, sf_dir):
 
 @query(f"""WITH t AS (SELECT doc_id, {TRIMMED} AS own, chr(10) || 'Use ' || lang || ' instead' || chr(10) || {IDEA} AS low FROM documents)
 SELECT doc_id, 2 AS ord, md5(low) AS digest FROM t UNION ALL SELECT doc_id, 1, md5(own) FROM t UNION ALL SELECT doc_id, 3, md5({IDEA}) FROM documents
-UNION ALL SELECT doc_id, 0, md5(chr(10) || 'Abstract' || chr(10) || own || chr(10) || 'Rejected Ideas' || low) FROM t""")
+UNION ALL SELECT doc_id, 0, md5(chr(10) || 'Abstract' || chr(10) || own || chr(10) || 'Rejected Ideas' || chr(10) || low) FROM t""")
 def b4_subtree_texts(spark, sf_dir):
     found = sections(design_documents(spark, sf_dir), LEXICON.section_kinds)
     return subtree_texts(found).select("doc_id", "ord", F.md5("full_text").alias("digest"))

@@ -501,7 +501,7 @@ def f11_non_goal_warnings(spark, sf_dir):
 
 
 CLOSEST = f"""{LINEAGE}, {LINKS}, {VERSIONS}, {RANKED}, newer AS (SELECT doc_id, string_agg(DISTINCT next::VARCHAR, ',' ORDER BY next::VARCHAR) AS superseded_by FROM versions GROUP BY doc_id),
-said AS (SELECT input_id, doc_id, string_agg(CASE relation WHEN 'MENTIONS' THEN 'mentions' ELSE lower(relation) END || ' ' || concept, '|' ORDER BY relation = 'MENTIONS', concept) AS said FROM (SELECT *, row_number() OVER (PARTITION BY input_id, doc_id, relation = 'MENTIONS' ORDER BY concept) AS n FROM ranked JOIN lineage USING (doc_id) WHERE rank <= 5) WHERE relation <> 'MENTIONS' OR n <= 2 GROUP BY input_id, doc_id),
+said AS (SELECT input_id, doc_id, string_agg(CASE relation WHEN 'MENTIONS' THEN 'mentions' ELSE lower(relation) END || ' ' || concept, '|' ORDER BY relation = 'MENTIONS', concept) AS said FROM (SELECT *, row_number() OVER (PARTITION BY input_id, doc_id, relation = 'MENTIONS' ORDER BY concept) AS nth FROM ranked JOIN lineage USING (doc_id) WHERE rank <= 5) WHERE relation <> 'MENTIONS' OR nth <= 2 GROUP BY input_id, doc_id),
 closest AS (SELECT input_id, rank, doc_id, 'Order ' || doc_id AS title, o_orderstatus AS status, year(o_orderdate) AS year, score, coalesce(said, '') || CASE WHEN doc_id % 2 = 0 THEN CASE WHEN said IS NULL THEN '' ELSE '|' END || 'same words: ' || o_orderpriority || ', ' || o_orderstatus ELSE '' END AS why, coalesce(superseded_by, '') AS superseded_by, CASE WHEN o_orderstatus = 'P' THEN 'P/' || o_orderpriority END AS decision
 FROM ranked JOIN orders ON o_orderkey = doc_id LEFT JOIN said USING (input_id, doc_id) LEFT JOIN newer USING (doc_id) WHERE rank <= 5)"""
 
