@@ -84,7 +84,7 @@ class Parts:
     """Byte strings of up to _SHORT bytes -> their ids: a hash table in arrays, exact, of at most `limit` entries."""
 
     def __init__(self, limit: int):
-        self.limit, size = limit, 1 << (limit + _SLICE).bit_length()  # a slice has fewer new parts than bytes
+        self.limit, size = limit, 1 << (limit + 2 * _SLICE // 5).bit_length()  # more different parts don't fit into a slice
         self.shift = np.uint64(64 - size.bit_length() + 1)
         self.low, self.high, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         self.forget()
@@ -256,7 +256,7 @@ def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, mode: str, limit: int = 1_000_000) -> Encoder:
+def encoder(path: str, mode: str, limit: int = 500_000) -> Encoder:
     """One per Python worker, kept from task to task."""
     if (path, mode) not in _ENCODERS:
         _ENCODERS[path, mode] = Encoder(path, mode, limit)

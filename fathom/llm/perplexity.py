@@ -24,7 +24,7 @@ KINDS = 1 << BITS
 START, CLOSE, FIRST = 0, 1, 2
 FOLDS = 2
 #: What a task works on at once: symbols, and bytes and texts of a chunk.
-_PIECE, _CHUNK, _TEXTS = 1 << 21, 16 << 20, 1 << 16
+_PIECE, _CHUNK, _TEXTS = 1 << 20, 16 << 20, 1 << 16
 
 
 def mask(m: int) -> int:
@@ -242,7 +242,7 @@ def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def _coded(keys: np.ndarray) -> bytes:
-    """Sorted numbers, by their differences."""
+    """Numbers in order, by their differences."""
     import zstandard
 
     return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).tobytes())
@@ -266,11 +266,12 @@ def _distinct(texts: list[np.ndarray], folds: np.ndarray, fold: int) -> np.ndarr
     return distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
+def chunks_of(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
     """docs(fold, row, text) -> (chunk, shard, data): chunks of texts, packed, and what they ask of each shard of the model.
 
     A chunk is neighbouring texts of one task, of at most _CHUNK bytes unless it is one
     text. Its row has no shard; the others have its different n-grams of all orders.
+    A shard is a range of n-grams, so that neighbours in a block differ little.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +282,11 @@ def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             asked = [k for f in range(FOLDS) for k in _orders(_distinct(texts, np.array(folds), f), f)]
-            keys = distinct(np.concatenate(asked))
-            shard = (keys.view(np.int64) % shards).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            ends = np.flatnonzero(np.diff(shard[order])) + 1
-            blocks = np.split(keys[order], ends)
-            own = shard[order][np.concatenate([[0], ends])]
+            keys = distinct(np.concatenate(asked).view(np.int64))
+            shard = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+            ends = np.flatnonzero(np.diff(shard)) + 1
+            blocks = np.split(keys.view(np.uint64), ends)
+            own = shard[np.concatenate([[0], ends])]
             data = [_packed(texts, rows, folds), *map(_coded, blocks)]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(data), chunk)), pa.array([None, *own.tolist()], pa.int32()), pa.array(data, pa.binary())], ["chunk", "shard", "data"])
 
@@ -307,7 +307,7 @@ def chunks_of(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(pack, "chunk long, shard int, data binary")
 
 
-def answers(asked: DataFrame, values: DataFrame, shards: int) -> DataFrame:
+def answers(asked: DataFrame, values: DataFrame, bounds: np.ndarray) -> DataFrame:
     """asked(chunk, shard, data), values(key, value) -> (chunk, shard, values): the values of each block's n-grams, 0 where the model has none.
 
     A shard of the model comes first, then the blocks that ask for it, one after
@@ -344,7 +344,13 @@ def answers(asked: DataFrame, values: DataFrame, shards: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "values"])
 
-    table = values.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("chunk"), "key", "value", F.lit(None).cast("binary").alias("data"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(bounds, batch.column("key").to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("key"), batch.column("value")], ["shard", "key", "value"])
+
+    placed = values.select("key", "value").mapInArrow(place, "shard int, key long, value double")
+    table = placed.select("shard", F.lit(None).cast("long").alias("chunk"), "key", "value", F.lit(None).cast("binary").alias("data"))
     blocks = asked.mapInArrow(lambda batches: (b.filter(b.column("shard").is_valid()) for b in batches), asked.schema).select("shard", "chunk", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "data")
     both = table.union(blocks).repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first())
     return both.mapInArrow(answer, "chunk long, shard int, values binary")
@@ -397,10 +403,12 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
         return pa.table({"row": pa.array(rows_, pa.int64()), "nll": pa.array(nlls, pa.float64())})
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(partitions, -(-values.count() // per_shard)) | 1
+    shards = max(partitions, -(-values.count() // per_shard))
+    bounds = values.stat.approxQuantile("key", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
+    bounds = np.unique(np.array(bounds, dtype=np.float64)).astype(np.int64)  # a number for each shard
     # the shuffle by chunk is the one copy of the texts: what is asked comes from it, and what is answered goes to it
-    made = chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), shards).repartition(partitions, "chunk")
-    found = answers(made, values, shards)
+    made = chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), bounds).repartition(partitions, "chunk")
+    found = answers(made, values, bounds)
     each = made.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "row long, nll double")
     return spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
 
