@@ -13,7 +13,10 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .perplexity import classify
+from .prefixtrie import listed, numbered, prefix_trie, rebuilt
 from .rules import apply_rules
+from .secrets import scan_secrets
+from .spelling import spelling_variants
 from .substrings import dedup_substrings
 from .tokenfiles import token_files
 
@@ -74,4 +77,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_substring_dedup, op4_perplexity, op5_mix_sources, op6_language_id, op7_near_vectors, op8_quality_rules, op9_packing, op10_line_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie(*rebuilt(numbered(table(spark, sf_dir, "conversations"))))
+    hashes = listed(trie.ends).withColumnRenamed("members_sha256", "ends_sha256")
+    found = trie.nodes.withColumnRenamed("saved", "saved_tokens").join(hashes, ["conv_id", "depth"], "left")
+    return found.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = scan_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    of = lambda test: F.filter("secrets", test)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(of(lambda s: s["kind"] != "random")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_substring_dedup, op4_perplexity, op5_mix_sources, op6_language_id, op7_near_vectors, op8_quality_rules, op9_packing, op10_line_dedup, op11_prefix_trie, op12_spelling_variants, op13_secret_scan)}
