@@ -92,10 +92,10 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = scan_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    of = lambda test: F.filter("secrets", test)
+    of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(of(lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(joined(of(lambda s: s["kind"] != "random")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.filter("secrets", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_substring_dedup, op4_perplexity, op5_mix_sources, op6_language_id, op7_near_vectors, op8_quality_rules, op9_packing, op10_line_dedup, op11_prefix_trie, op12_spelling_variants, op13_secret_scan)}
