@@ -28,7 +28,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 2**64))
 _LENGTH = 0xD6E8FEB86659FD93
 #: Words counted before they are handed on, keys of a block, pairs compared at once.
-_HELD, _KEYS, _PAIRS = 200_000, 1 << 21, 1 << 18
+_HELD, _KEYS, _PAIRS = 100_000, 1 << 19, 1 << 17
 
 
 def altered(word: str, doc: int, modulus: int) -> str:
@@ -219,8 +219,9 @@ def one_edit(data: np.ndarray, at: np.ndarray, size: np.ndarray, i: np.ndarray,
     for n in np.unique(size[short]):
         for more in (0, 1):
             own = np.flatnonzero((size[short] == n) & (gap == more))
-            for lo in range(0, len(own), max(1, _PAIRS * 16 // (n + 1))):
-                part = own[lo : lo + max(1, _PAIRS * 16 // (n + 1))]
+            step = max(1, 8 * _PAIRS // (n + 1))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
                 a = data[at[short[part]][:, None] + np.arange(n)]
                 b = data[at[long[part]][:, None] + np.arange(n + more)]
                 differ = a != b[:, :n]
