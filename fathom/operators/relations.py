@@ -2,7 +2,7 @@
 
 Tables: docs(doc_id, headers, raw), found = sections with kinds, meta =
 document_table(). Edges are (src, dst, type, confidence, source, section,
-evidence, weight, mentions, context, ord). Missing dates sort first.
+evidence, weight, mentions, context, ord, by_section). Missing dates sort first.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from .retrieval import top_k
-from .sections import subtree_texts, top_level
+from ..session import cut
+from .retrieval import TfIdf, levelled, pair_cosines, prefixes, similar_pairs, top_k
+from .sections import text_below, top_level, trees
 
-EDGE = "src string, dst string, type string, confidence double, source string, section string, evidence string, weight double, mentions long, context string, ord int"
+EDGE = "src string, dst string, type string, confidence double, source string, section string, evidence string, weight double, mentions long, context string, ord int, by_section map<string,bigint>"
 #: How much a mention weighs by where it stands; other kinds of sections count as body.
 LOCATION_WEIGHTS = {"title": 6.0, "abstract": 3.0, "motivation": 1.0, "specification": 1.0, "body": 0.8, "compat": 0.5, "rejected": 0.3, "decision": 0.5, "meta": 0.0, "heading": 8.0}
 
@@ -34,21 +35,26 @@ def edges(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     cols = []
     for part in EDGE.split(", "):
-        name, kind = part.split(" ")
+        name, kind = part.split(" ", 1)
         value = F.col(name) if name in have else F.lit(None)
         cols.append((F.substring(value, 1, 400) if name == "evidence" else value).cast(kind).alias(name))
     return rows.select(*cols)
 
 
 def document_table(docs: DataFrame, found: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
-    """doc_id, title, status, outcome, doc_type, created, year, abstract, outline."""
+    """doc_id, title, status, outcome, doc_type, created, year, abstract, outline, url (none without a pattern for it)."""
     h = lambda k: F.col("headers")[k]
     plain = docs.select("doc_id", tx.clean_title(F.coalesce(h("Title"), F.lit(""))).alias("title"), F.coalesce(h("Status"), F.lit("?")).alias("status"), h("Type").alias("doc_type"), tx.parse_date(h("Created")).alias("created"))
     abstract = top_level(found, ["Abstract"]).select("doc_id", tx.first_sentences("own_text", 500).alias("abstract"))
     shown = found.where((F.col("level").between(1, 2)) & ~F.col("kind").isin("meta", "decision"))
     outline = shown.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", tx.clean_title("title").alias("t")))), lambda x: x["t"]).alias("outline"))
     out = plain.join(abstract, "doc_id", "left").join(outline, "doc_id", "left")
-    return out.select("doc_id", "title", "status", tx.outcome("status", lexicon.accepted, lexicon.failed).alias("outcome"), "doc_type", "created", F.year("created").alias("year"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("outline", F.array().cast("array<string>")).alias("outline"))
+    return out.select("doc_id", "title", "status", tx.outcome("status", lexicon.accepted, lexicon.failed).alias("outcome"), "doc_type", "created", F.year("created").alias("year"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("outline", F.array().cast("array<string>")).alias("outline"), document_url("doc_id", lexicon).alias("url"))
+
+
+def document_url(doc_id: str, lexicon: lx.Lexicon) -> Column:
+    """Where a document is to be found: the lexicon's pattern with the id in place of `{}`."""
+    return F.replace(F.lit(lexicon.url), F.lit("{}"), F.col(doc_id).cast("string")) if lexicon.url else F.lit(None).cast("string")
 
 
 def stubs(referenced: DataFrame, known: DataFrame, titles: DataFrame) -> DataFrame:
@@ -142,8 +148,17 @@ def focus(scores: DataFrame, share: float = 0.35, least: float = 6.0, most: int
     near = (F.col("weight") >= share * F.col("top")) & (F.col("weight") >= least)
     # those near the top are a prefix of the order by weight
     out = out.withColumn("_nth", F.row_number().over(doc.orderBy(F.desc("weight"), "concept")))
-    chosen = (near & (F.col("_nth") <= most)) | F.col("titled") | ((F.col("_headed") >= umbrella) & F.col("headed"))
-    return out.withColumn("focus", chosen).withColumn("share", F.round(F.try_divide("weight", "top"), 3)).drop("_headed", "_nth")
+    near, wide = near & (F.col("_nth") <= most), F.col("_headed") >= umbrella
+    chosen = near | F.col("titled") | (wide & F.col("headed"))
+    # by weight; but what only the title names follows by name, unless there are many headed ones
+    place = F.when(near | wide, F.struct(F.lit(0).alias("group"), (-F.col("weight")).alias("w"), "concept")).otherwise(F.struct(F.lit(1).alias("group"), F.lit(0.0).alias("w"), "concept"))
+    return out.withColumn("focus", chosen).withColumn("share", F.round(F.try_divide("weight", "top"), 3)).withColumn("place", place).drop("_headed", "_nth")
+
+
+def focus_lists(focused: DataFrame) -> DataFrame:
+    """focus() -> doc_id, focus_concepts: each document's, in order."""
+    places = F.array_sort(F.collect_list("place"))
+    return focused.where("focus").groupBy("doc_id").agg(F.transform(places, lambda x: x["concept"]).alias("focus_concepts"))
 
 
 def lineage(focused: DataFrame, meta: DataFrame, standard: Column | None = None) -> DataFrame:
@@ -182,49 +197,67 @@ def citations(found: DataFrame, word: str) -> DataFrame:
     return cited.select(F.col("doc_id").alias("src"), "dst", "kind", "section", F.coalesce(F.get(F.filter("every", names), F.lit(0)), F.lit("")).alias("evidence"), "ord")
 
 
-def typed_references(cited: DataFrame, meta: DataFrame, foundational: tuple[str, ...] = ("abstract", "motivation", "specification", "body", "compat"), rejected: str = "rejected") -> DataFrame:
-    """(src, dst, kind, section, evidence, ord) and meta(doc_id, created, outcome) -> one typed row for each (src, dst).
+def citation_counts(cited: DataFrame) -> DataFrame:
+    """citations() -> src, dst, kind, n, first: how often each kind of section cites a document, and where first. A part of each document alone."""
+    return cited.groupBy("src", "dst", "kind").agg(F.count("*").alias("n"), F.min(F.struct("ord", "section", "evidence")).alias("first"))
+
+
+def typed_references(counted: DataFrame, meta: DataFrame, foundational: tuple[str, ...] = ("abstract", "motivation", "specification", "body", "compat"), rejected: str = "rejected") -> DataFrame:
+    """citation_counts() and meta(doc_id, created, outcome) -> one typed row for each (src, dst), with by_section, the counts by kind.
 
     Counts are summed up before the shuffle, so a document that all others cite
-    is no burden; the dates of the cited are joined to the groups.
+    is no burden; the dates of the cited are joined to the groups. Evidence is
+    from the first section that isn't meta, if there is one.
     """
-    groups = cited.groupBy("src", "dst").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("kind") == rejected).alias("rejected"),
-        F.count_if(F.col("kind").isin(*foundational)).alias("foundational"),
-        F.min_by(F.struct("section", "evidence"), F.struct(F.col("kind") == "meta", F.col("ord"))).alias("first"),
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    groups = counted.groupBy("src", "dst").agg(
+        F.sum("n").alias("n"),
+        of(F.col("kind") == rejected).alias("rejected"),
+        of(F.col("kind").isin(*foundational)).alias("foundational"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_section"),
+        F.min(F.struct((F.col("kind") == "meta").alias("meta"), "first")).alias("at"),
     )
-    of = meta.select("doc_id", "created", "outcome")
-    out = groups.join(of.select(F.col("doc_id").alias("src"), F.col("created").alias("src_created")), "src").join(of.select(F.col("doc_id").alias("dst"), F.col("created").alias("dst_created"), F.col("outcome").alias("dst_outcome")), "dst", "left")
+    dates = meta.select("doc_id", "created", "outcome")
+    out = groups.join(dates.select(F.col("doc_id").alias("src"), F.col("created").alias("src_created")), "src").join(dates.select(F.col("doc_id").alias("dst"), F.col("created").alias("dst_created"), F.col("outcome").alias("dst_outcome")), "dst", "left")
     builds = (F.col("dst_outcome") == "accepted") & (day("dst_created") < day("src_created")) & (F.col("foundational") > 0)
     kind = F.when((F.col("rejected") > 0) & (F.col("rejected") >= F.col("foundational")), "CONTRASTS_WITH").when(builds, "BUILDS_ON").otherwise("REFERENCES")
-    return out.select("src", "dst", kind.alias("type"), "n", "rejected", "foundational", "first.section", "first.evidence")
+    return out.select("src", "dst", kind.alias("type"), "n", "rejected", "foundational", "by_section", "at.first.section", "at.first.evidence")
 
 
 def reference_edges(typed: DataFrame) -> DataFrame:
     src = key("doc", "src")
     confidence = F.when(F.col("type") == "REFERENCES", 0.8).otherwise(0.9)
-    return edges(typed.select(src.alias("src"), key("doc", "dst").alias("dst"), "type", confidence.alias("confidence"), src.alias("source"), "section", "evidence", F.col("n").alias("mentions")))
+    return edges(typed.select(src.alias("src"), key("doc", "dst").alias("dst"), "type", confidence.alias("confidence"), src.alias("source"), "section", "evidence", F.col("n").alias("mentions"), "by_section"))
+
+
+def rejected_in(tree: Column, lexicon: lx.Lexicon) -> Column:
+    """trees()' tree -> array<(ord, container)>: the childless sections below each outermost rejected section, or itself if it has none."""
+    is_one = lambda s: (s["ord"] > 0) & s["title"].rlike(f"(?i){lexicon.rejected_heading}") & (lx.section_kind(F.array(s["title"]), lexicon.section_kinds) != "decision")
+
+    def outermost(ones: Column) -> Column:
+        return F.filter(ones, lambda s: ~F.exists(ones, lambda o: (o["ord"] < s["ord"]) & (s["ord"] <= o["last"])))
+
+    def leaves(container: Column) -> Column:
+        inside = F.slice(tree, container["ord"] + 1, container["last"] - container["ord"] + 1)
+        return F.transform(F.filter(inside, lambda s: s["is_leaf"]), lambda s: F.struct(s["ord"].alias("ord"), container["ord"].alias("container")))
+
+    return F.flatten(F.transform(tx.bound(F.filter(tree, is_one), outermost), leaves))
 
 
 def rejected_leaves(found: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     """The sections that hold rejected ideas, with the outermost rejected section each belongs to: doc_id, ord, container."""
-    is_one = F.col("title").rlike(f"(?i){lexicon.rejected_heading}") & (lx.section_kind(F.array("title"), lexicon.section_kinds) != "decision") & (F.col("ord") > 0)
-    ones = found.where(is_one).select("doc_id", "ord", "last")
-    above = ones.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.col("last").alias("l"))
-    outer = ones.join(above, F.expr("doc_id = d and o < ord and ord <= l"), "left_anti")
-    below = found.select(F.col("doc_id").alias("d"), F.col("ord").alias("leaf"), "is_leaf")
-    pairs = outer.join(below, F.expr("doc_id = d and leaf between ord and last")).where("is_leaf or leaf = ord")
-    alone = F.col("last") == F.col("ord")
-    return pairs.where(alone | ((F.col("leaf") != F.col("ord")) & F.col("is_leaf"))).select("doc_id", F.col("leaf").alias("ord"), F.col("ord").alias("container"))
+    return trees(found).select("doc_id", F.explode(rejected_in(F.col("tree"), lexicon)).alias("s")).select("doc_id", "s.*")
 
 
 def ideas(found: DataFrame, meta: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
-    """idea_id, doc_id, ord, section, heading, title, kind, summary, reason, text, paras, full_text, year."""
-    leaves = rejected_leaves(found, lexicon)
-    named = found.select("doc_id", "ord", "title", "path", "parent_ord")
-    parents = found.select("doc_id", F.col("ord").alias("parent_ord"), F.col("title").alias("parent_title"), F.col("level").alias("parent_level"))
-    rows = leaves.join(named, ["doc_id", "ord"]).join(parents, ["doc_id", "parent_ord"], "left").join(subtree_texts(found), ["doc_id", "ord"]).join(meta.select("doc_id", "year"), "doc_id")
+    """idea_id, doc_id, ord, section, heading, title, kind, summary, reason, text, paras, full_text, year.
+
+    Leaves, their parents and the texts below them come out of one row for each document.
+    """
+    leaves = trees(found).select("doc_id", "tree", "pieces", F.explode(rejected_in(F.col("tree"), lexicon)).alias("leaf"))
+    node = F.get("tree", F.col("leaf.ord"))
+    rows = leaves.select("doc_id", node.alias("node"), "leaf.container", F.get("tree", node["parent_ord"]).alias("parent"), text_below(node).alias("full_text"))
+    rows = rows.select("doc_id", "node.ord", "node.title", "node.path", "container", F.col("parent.title").alias("parent_title"), F.col("parent.level").alias("parent_level"), "full_text").join(meta.select("doc_id", "year"), "doc_id")
     rows = rows.withColumn("paras", tx.paragraphs("full_text")).where(F.size("paras") > 0)
     own = tx.clean_title("title")
     doc = F.concat(F.lit(f"{lexicon.reference_word} "), F.col("doc_id").cast("string"))
@@ -305,6 +338,24 @@ def revisit_pairs(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, leas
     return pairs.groupBy("idea_id", "origin", "doc_id").agg(F.array_sort(F.collect_set("concept")).alias("shared"))
 
 
+def similar_revisits(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, index: TfIdf, vectors: DataFrame, least: float = 3, aware: float = 0.15, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """revisit_pairs() with a cosine of at least `aware`, and their cosines; pairs below are not made.
+
+    vectors: index.query_vectors() of the ideas. Rejected ideas meet later
+    documents by concept and term, and only by the terms in the prefixes of
+    both (see retrieval.prefixes), so by rare ones; keys that many documents have
+    are dealt out by date.
+    """
+    origin = meta.select(F.col("doc_id").alias("origin"), day("created").alias("_since"))
+    ours = cut(subjects.where(F.col("weight") >= least).join(origin, "origin").select("idea_id", "origin", "concept", "_since"), "subjects")
+    later = cut(focuses.join(meta.where("outcome = 'accepted'").select("doc_id", day("created").alias("_day")), "doc_id"), "later")
+    left, right = levelled(prefixes(vectors, index.idf, aware, "idea_id"), prefixes(index.vectors, index.idf, aware, "doc_id"), aware)
+    met = similar_pairs(ours.join(left, "idea_id"), later.join(right, "doc_id"), ["concept", "term", "level"], "_since", "_day", most).where("doc_id <> origin").select("idea_id", "doc_id").distinct()
+    cosine = cut(pair_cosines(index, vectors, met, "idea_id").where(F.col("cosine") >= aware), "cosines")
+    shared = cosine.select("idea_id", "doc_id").join(ours, "idea_id").join(later.select("doc_id", "concept"), ["doc_id", "concept"])
+    return cosine, shared.groupBy("idea_id", "origin", "doc_id").agg(F.array_sort(F.collect_set("concept")).alias("shared"))
+
+
 def revisits(pairs: DataFrame, cosine: DataFrame, cited: DataFrame, strong: float = 0.30, aware: float = 0.15) -> DataFrame:
     """revisit_pairs(), cosine(idea_id, doc_id, cosine), cited(src, dst) -> rejected ideas taken up later: idea_id, doc_id, cosine, shared, confidence."""
     close = pairs.join(cosine.where(F.col("cosine") >= aware).select("idea_id", "doc_id", "cosine"), ["idea_id", "doc_id"])
@@ -315,26 +366,37 @@ def revisits(pairs: DataFrame, cosine: DataFrame, cited: DataFrame, strong: floa
 
 
 def upsert(rows: DataFrame, key_: str, order: list[str], attributes: list[str]) -> DataFrame:
-    """One row for each key: the last value of each attribute, in the given order, that isn't null or empty."""
+    """One row for each key: the last value of each attribute, in the given order, that isn't null or empty (a text, a list or a map)."""
     at = F.struct(*order)
-    filled = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(c))
+    filled = lambda c: F.when(F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "[]", "{}"), F.col(c))
     return rows.groupBy(key_).agg(*(F.max_by(filled(c), F.when(filled(c).isNotNull(), at)).alias(c) for c in attributes))
 
 
-def violations(all_edges: DataFrame, nodes: DataFrame, vocabulary: list[str], dates: DataFrame | None = None) -> DataFrame:
-    """Edges that break a rule: src, dst, type, problem.
+def flagged(all_edges: DataFrame, nodes: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """edges, nodes(id, created) -> edges with a flag for each rule that they break, and what each flag says.
 
     Both ends exist; the type is known; 0 < confidence <= 1; there is a source;
-    BUILDS_ON goes back in time and REVISITED_BY forward (dates(id, created)).
+    BUILDS_ON goes back in time and REVISITED_BY forward, where both ends are dated nodes.
     """
-    ids = nodes.select("id").distinct()
-    cols = lambda df, problem: df.select("src", "dst", "type", F.lit(problem).alias("problem"))
-    out = cols(all_edges.join(ids, F.col("src") == F.col("id"), "left_anti"), "no source node")
-    out = out.unionByName(cols(all_edges.join(ids, F.col("dst") == F.col("id"), "left_anti"), "no target node"))
-    out = out.unionByName(cols(all_edges.where(~F.col("type").isin(*vocabulary)), "unknown type"))
-    out = out.unionByName(cols(all_edges.where("confidence is null or confidence <= 0 or confidence > 1"), "confidence"))
-    out = out.unionByName(cols(all_edges.where("source is null or source = ''"), "no provenance"))
-    if dates is not None:
-        timed = all_edges.where(F.col("type").isin("BUILDS_ON", "REVISITED_BY")).join(dates.select(F.col("id").alias("src"), day("created").alias("_s")), "src").join(dates.select(F.col("id").alias("dst"), day("created").alias("_d")), "dst")
-        out = out.unionByName(cols(timed.where("(type = 'BUILDS_ON' and _d >= _s) or (type = 'REVISITED_BY' and _d <= _s)"), "order in time"))
-    return out
+    ids = nodes.groupBy("id").agg(F.max(day("created")).alias("_at"))
+    end = lambda name: ids.select(F.col("id").alias(name), F.col("_at").alias(f"_{name}"))
+    rows = all_edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    both, kind = F.col("_src").isNotNull() & F.col("_dst").isNotNull(), F.col("type")
+    wrong = {
+        "no source node": F.col("_src").isNull(),
+        "no target node": F.col("_dst").isNull(),
+        "unknown type": ~kind.isin(*vocabulary),
+        "confidence": F.col("confidence").isNull() | (F.col("confidence") <= 0) | (F.col("confidence") > 1),
+        "no provenance": F.coalesce("source", F.lit("")) == "",
+        "order in time": both & (((kind == "BUILDS_ON") & (F.col("_dst") >= F.col("_src"))) | ((kind == "REVISITED_BY") & (F.col("_dst") <= F.col("_src")))),
+    }
+    flags = {f"broken_{name.replace(' ', '_')}": name for name in wrong}
+    marked = rows.select(*all_edges.columns, *(F.coalesce(test, F.lit(False)).alias(flag) for flag, test in zip(flags, wrong.values(), strict=True)))
+    return marked, flags
+
+
+def violations(all_edges: DataFrame, nodes: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Edges that break a rule of flagged(), once for each: src, dst, type, problem."""
+    marked, flags = flagged(all_edges, nodes, vocabulary)
+    problems = F.array_compact(F.array(*(F.when(F.col(flag), F.lit(name)) for flag, name in flags.items())))
+    return marked.select("src", "dst", "type", F.explode(problems).alias("problem"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, stem
+from ..session import cut
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", stop_words=STOP_WORDS) -> DataFrame:
@@ -39,28 +42,83 @@ def tfidf(counts: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFra
 
 
 class TfIdf:
-    """The index of a corpus: docs(doc_id, text). Used several times, so worth persisting: `counts` and `vectors`."""
+    """The index of a corpus: docs(doc_id, text)."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str | Column = "text", stop_words=STOP_WORDS):
-        self.key, self.stop_words = key, stop_words
-        self.counts = term_counts(docs, key, text, stop_words)
-        self.idf = idf(self.counts, docs, key)
-        self.vectors = tfidf(self.counts, self.idf, key)
+        self.docs, self.key, self.stop_words = docs, key, stop_words
+        self._of(term_counts(docs, key, text, stop_words))
+
+    def _of(self, counts: DataFrame) -> None:
+        self.counts = counts
+        self.idf = idf(counts, self.docs, self.key)
+        self.vectors = tfidf(counts, self.idf, self.key)
+
+    def counted_once(self) -> TfIdf:
+        """Write counts, idf and vectors, each once: what is joined several times isn't worked out again."""
+        self._of(cut(self.counts, "terms"))
+        self.idf = cut(self.idf, "idf")
+        self.vectors = cut(tfidf(self.counts, self.idf, self.key), "vectors")
+        return self
 
     def query_vectors(self, inputs: DataFrame, key: str = "input_id", text: str | Column = "text") -> DataFrame:
         return tfidf(term_counts(inputs, key, text, self.stop_words), self.idf, key)
 
     def products(self, inputs: DataFrame, key: str = "input_id", text: str | Column = "text") -> DataFrame:
         """key, doc_id, term, product for all terms that an input and a document share."""
-        q = self.query_vectors(inputs, key, text).withColumnRenamed("weight", "_q")
-        return q.join(self.vectors, "term").select(key, self.key, "term", (F.col("_q") * F.col("weight")).alias("product"))
+        return self.products_of(self.query_vectors(inputs, key, text), key)
+
+    def products_of(self, queries: DataFrame, key: str = "input_id", pairs: DataFrame | None = None) -> DataFrame:
+        """query_vectors() -> products; with pairs(key, doc_id) for these only."""
+        q = queries.withColumnRenamed("weight", "_q")
+        joined = q.join(self.vectors, "term") if pairs is None else pairs.select(key, self.key).distinct().join(q, key).join(self.vectors, [self.key, "term"])
+        return joined.select(key, self.key, "term", (F.col("_q") * F.col("weight")).alias("product"))
+
+
+def pair_cosines(index: TfIdf, queries: DataFrame, pairs: DataFrame, key: str = "input_id") -> DataFrame:
+    """query_vectors(), pairs(key, doc_id) -> the pairs with cosine; those without a common term are left out."""
+    return index.products_of(queries, key, pairs).groupBy(key, index.key).agg(F.sum("product").alias("cosine"))
+
+
+def prefixes(vectors: DataFrame, weights: DataFrame, least: float, key: str) -> DataFrame:
+    """vectors(key, term, weight) of length 1, weights(term, idf) -> key, term, rest: each vector's rarest terms, and how long it is from each on.
+
+    A vector ends where it is shorter than `least`. Of the terms that two vectors
+    share, in order of rarity, from the first one on their lengths times each
+    other aren't less than their cosine; so a pair with a cosine of at least
+    `least` has a common term in both prefixes at which the product is no less.
+    """
+    upto = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key).orderBy("idf", F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return vectors.join(weights, "term").withColumn("rest", F.sqrt(upto)).where(F.col("rest") >= least - 1e-9).select(key, "term", "rest")
+
+
+def levelled(left: DataFrame, right: DataFrame, least: float, base: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """prefixes() of both sides, each with a level that they can be joined by, besides the term: what can't reach `least` doesn't meet.
+
+    A row's level is the power of 1 / base that its length is at most. On the
+    left a row comes for each level that, with its own, leaves `least` in reach.
+    """
+    level = F.floor(F.greatest(-F.log("rest"), F.lit(0.0)) / math.log(base)).cast("int")
+    top = math.floor(math.log(1 / least) / math.log(base) + 1e-9)
+    return left.where(level <= top).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top) - level))).drop("rest"), right.withColumn("level", level).drop("rest")
 
 
-def pair_cosines(index: TfIdf, inputs: DataFrame, pairs: DataFrame, key: str = "input_id") -> DataFrame:
-    """pairs(key, doc_id) -> the same with cosine, for these pairs only; those without a common term are left out."""
-    q = pairs.select(key, index.key).distinct().join(index.query_vectors(inputs, key).withColumnRenamed("weight", "_q"), key)
-    both = q.join(index.vectors, [index.key, "term"])
-    return both.groupBy(key, index.key).agg(F.sum(F.col("_q") * F.col("weight")).alias("cosine"))
+def similar_pairs(left: DataFrame, right: DataFrame, by: list[str], since: str, until: str, most: int = 1000, ranges: int = 16) -> DataFrame:
+    """left(by, since, ...), right(by, until, ...) -> the rows that meet by the columns `by`, with since < until (dates).
+
+    A key with more than `most` rows on the right is dealt out by ranges of
+    until; rows on the left go to the ranges that hold later dates only. So a
+    key that everyone has is spread over tasks, and the pairs before the date
+    are never made.
+    """
+    days = F.datediff(F.col(until), F.lit("1970-01-01").cast("date")).cast("double")
+    bounds = right.select(days.alias("d")).stat.approxQuantile("d", [k / ranges for k in range(1, ranges)], 0.01)
+    bucket = lambda d: sum((F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) >= b).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0)
+    hot = right.groupBy(*by).agg(F.count("*").alias("_c")).where(F.col("_c") > most).select(*by, F.lit(True).alias("_hot"))
+    some = lambda df: df.join(hot, by, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    from_ = F.when(F.col("_hot"), F.sequence(bucket(since), F.lit(len(set(bounds))))).otherwise(F.array(F.lit(0)))
+    a = some(left).withColumn("_range", F.explode(from_)).drop("_hot")
+    b = some(right).withColumn("_range", F.when(F.col("_hot"), bucket(until)).otherwise(0)).drop("_hot")
+    return a.join(b, [*by, "_range"]).where(F.col(since) < F.col(until)).drop("_range")
 
 
 def cosines(products: DataFrame, keys: list[str]) -> DataFrame:

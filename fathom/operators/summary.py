@@ -12,22 +12,27 @@ def counts_by_type(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return count(nodes, "node").union(count(all_edges, "edge"))
 
 
-def concept_lineage(relations: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(doc_id, concept, relation), (idea_id, concept) -> concept, INTRODUCES, EXTENDS, PROPOSES (sorted ids), ideas."""
+def concept_lineage(relations: DataFrame, subjects: DataFrame, width: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, concept, relation), (idea_id, concept) -> (concept, relation, part, ids) and (concept, introduced, extended, proposed, ideas).
+
+    The first lists the documents of each concept and relation: a part has the
+    sorted ids of one range of `width`, so no row grows with the concept, and
+    parts follow each other in the order of ids. The second counts.
+    """
     kinds = ["INTRODUCES", "EXTENDS", "PROPOSES"]
-    docs = relations.where(F.col("relation").isin(*kinds)).groupBy("concept").pivot("relation", kinds).agg(F.array_sort(F.collect_list("doc_id")))
+    own = relations.where(F.col("relation").isin(*kinds))
+    lists = own.groupBy("concept", "relation", F.floor(F.col("doc_id") / width).alias("part")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    counts = own.groupBy("concept").agg(*(F.count_if(F.col("relation") == k).alias(name) for k, name in zip(kinds, ("introduced", "extended", "proposed"), strict=True)))
     about = subjects.groupBy("concept").agg(F.count("*").alias("ideas"))
-    empty = F.array().cast("array<long>")
-    return docs.join(about, "concept", "full_outer").select("concept", *(F.coalesce(k, empty).alias(k) for k in kinds), F.coalesce("ideas", F.lit(0)).alias("ideas"))
+    return lists, counts.join(about, "concept", "full_outer").na.fill(0)
 
 
-def corpus_table(meta: DataFrame, focused: DataFrame, links: DataFrame, all_ideas: DataFrame) -> DataFrame:
-    """doc_id, focus (by weight), builds_on (sorted), considered."""
-    f = focused.where("focus").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "concept"))), lambda x: x["concept"]).alias("focus"))
+def corpus_table(focuses: DataFrame, links: DataFrame, all_ideas: DataFrame) -> DataFrame:
+    """(doc_id, focus_concepts) of all documents -> doc_id, focus, builds_on (sorted), considered."""
     b = links.where("type = 'BUILDS_ON'").groupBy(F.col("src").alias("doc_id")).agg(F.array_sort(F.collect_set("dst")).alias("builds_on"))
     c = all_ideas.groupBy("doc_id").agg(F.count("*").alias("considered"))
-    out = meta.select("doc_id").join(f, "doc_id", "left").join(b, "doc_id", "left").join(c, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("focus", F.array().cast("array<string>")).alias("focus"), F.coalesce("builds_on", F.array().cast("array<long>")).alias("builds_on"), F.coalesce("considered", F.lit(0)).alias("considered"))
+    out = focuses.select("doc_id", "focus_concepts").join(b, "doc_id", "left").join(c, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("focus_concepts", F.array().cast("array<string>")).alias("focus"), F.coalesce("builds_on", F.array().cast("array<long>")).alias("builds_on"), F.coalesce("considered", F.lit(0)).alias("considered"))
 
 
 def revisited_list(revisited: DataFrame, all_ideas: DataFrame, meta: DataFrame) -> DataFrame:

@@ -28,13 +28,7 @@ cos AS (SELECT item_id, doc_id, sum(product) AS cosine, max(product) AS top_prod
 
 
 def _index(spark, sf_dir):
-    index = retrieval.TfIdf(table(spark, sf_dir, "documents"))
-    # used for frequencies, norms and products: counted once
-    counts = expand.cut(index.counts, "terms")
-    index.counts = counts
-    index.idf = retrieval.idf(counts, table(spark, sf_dir, "documents"))
-    index.vectors = retrieval.tfidf(counts, index.idf)
-    return index
+    return retrieval.TfIdf(table(spark, sf_dir, "documents")).counted_once()
 
 
 def _inputs(spark, sf_dir):
@@ -43,7 +37,7 @@ def _inputs(spark, sf_dir):
 
 @query(f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS weight FROM dvec")
 def e1_tfidf_vectors(spark, sf_dir):
-    return _index(spark, sf_dir).vectors.withColumn("weight", F.round("weight", 6))
+    return retrieval.TfIdf(table(spark, sf_dir, "documents")).vectors.withColumn("weight", F.round("weight", 6))
 
 
 @query(f"""WITH {TFIDF}, ranked AS (SELECT item_id, doc_id, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 6) DESC, doc_id) AS rank FROM cos WHERE round(cosine, 6) > 0)
@@ -57,10 +51,11 @@ def e2_closest_documents(spark, sf_dir):
 nth AS (SELECT p.*, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(product, 9) DESC, term DESC) AS n FROM prod p JOIN ranked USING (item_id, doc_id) WHERE rank <= 3)
 SELECT item_id, doc_id, string_agg(term, ',' ORDER BY n) AS terms FROM nth WHERE n <= 5 GROUP BY item_id, doc_id""")
 def e3_shared_terms(spark, sf_dir):
-    products = expand.cut(_index(spark, sf_dir).products(_inputs(spark, sf_dir)), "products")
-    found = retrieval.cosines(products, ["input_id", "doc_id"]).withColumn("c", F.round("cosine", 6))
-    top = retrieval.top_k(found, 3, "input_id", [F.desc("c"), F.asc("doc_id")]).select("input_id", "doc_id")
-    shared = retrieval.shared_terms(products.join(top, ["input_id", "doc_id"], "left_semi"), ["input_id", "doc_id"])
+    index, pair = _index(spark, sf_dir), ["input_id", "doc_id"]
+    queries = expand.cut(index.query_vectors(_inputs(spark, sf_dir)), "queries")
+    found = retrieval.cosines(index.products_of(queries), pair).withColumn("c", F.round("cosine", 6))
+    top = retrieval.top_k(found, 3, "input_id", [F.desc("c"), F.asc("doc_id")]).select(*pair)
+    shared = retrieval.shared_terms(index.products_of(queries, pairs=top), pair)
     return shared.select(F.col("input_id").alias("item_id"), "doc_id", F.array_join("terms", ",").alias("terms"))
 
 
@@ -245,9 +240,14 @@ def _dated(spark, sf_dir):
     return parts.union(table(spark, sf_dir, "supplier").select(1_000_000 + F.col("s_suppkey"), F.lit("2000-01-20").cast("date"), F.lit("open")))
 
 
-@query(f"WITH {CITED} SELECT src, dst, type, n, rejected, foundational, section, evidence FROM typed")
+@query(f"WITH {CITED} SELECT src, dst, type, n, rejected, foundational, section, evidence, by_section FROM typed JOIN (SELECT src, dst, string_agg(kind || '=' || c, ',' ORDER BY kind) AS by_section FROM (SELECT src, dst, kind, count(*) AS c FROM cited GROUP BY src, dst, kind) GROUP BY src, dst) USING (src, dst)")
 def d9_typed_references(spark, sf_dir):
-    return relations.typed_references(_cited(spark, sf_dir), _dated(spark, sf_dir))
+    found = _typed(spark, sf_dir)
+    return found.withColumn("by_section", F.array_join(F.array_sort(F.transform(F.map_entries("by_section"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))), ","))
+
+
+def _typed(spark, sf_dir):
+    return relations.typed_references(relations.citation_counts(_cited(spark, sf_dir)), _dated(spark, sf_dir))
 
 
 @query("""SELECT l_orderkey AS idea_id, p_brand AS concept, weight::BIGINT AS weight, CASE WHEN weight >= 4 THEN 0.8 ELSE 0.6 END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY weight DESC, h > 0 DESC, p_brand) AS nth FROM (
@@ -306,10 +306,10 @@ UNION ALL SELECT src, dst, type, 'confidence' FROM es WHERE confidence IS NULL O
 UNION ALL SELECT src, dst, type, 'no provenance' FROM es WHERE source = ''
 UNION ALL SELECT es.src, es.dst, type, 'order in time' FROM es JOIN ns a ON es.src = a.id JOIN ns b ON es.dst = b.id WHERE type = 'BUILDS_ON' AND b.created >= a.created""")
 def d17_violations(spark, sf_dir):
-    typed = relations.typed_references(_cited(spark, sf_dir), _dated(spark, sf_dir))
+    typed = _typed(spark, sf_dir)
     rows = typed.select(relations.key("doc", "src").alias("src"), relations.key("doc", "dst").alias("dst"), F.when(F.col("n") == 3, "NEAR").otherwise("BUILDS_ON").alias("type"), F.when(F.col("rejected") == 0, 0.9).when(F.col("rejected") == 1, 1.5).alias("confidence"), F.when(F.col("foundational") > 2, "").otherwise("doc").alias("source"))
     nodes = _dated(spark, sf_dir).where("doc_id % 50 <> 3").select(relations.key("doc", "doc_id").alias("id"), "created")
-    return relations.violations(expand.cut(rows, "edges"), nodes, ["BUILDS_ON"], nodes)
+    return relations.violations(rows, nodes, ["BUILDS_ON"])
 
 
 @query("""SELECT o.o_custkey AS doc_id, coalesce(any_value(n_name), '?') AS title FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0 LEFT JOIN nation ON n_nationkey = o.o_custkey % 50 WHERE c.c_custkey IS NULL GROUP BY o.o_custkey""")
@@ -355,6 +355,13 @@ def f2_successors(spark, sf_dir):
     return expand.successors(expand.current_versions(_links(spark, sf_dir)))
 
 
+@query(f"WITH RECURSIVE {LINKS}, {VERSIONS}, later AS (SELECT doc_id, next AS successor FROM versions WHERE doc_id % 50 = 0 UNION SELECT l.doc_id, v.next FROM later l JOIN versions v ON l.successor = v.doc_id) SELECT doc_id, successor FROM later")
+def f2_successors_of_some(spark, sf_dir):
+    """Of every fiftieth order: only what these lead to is followed."""
+    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    return expand.reached(expand.current_versions(_links(spark, sf_dir)), seeds)
+
+
 FOUND = f"""{META}, {LINKS}, {RANKED}, seeds AS (SELECT input_id, doc_id AS seed FROM ranked JOIN meta USING (doc_id) WHERE rank <= 3 AND outcome = 'accepted'), steps AS (SELECT DISTINCT src, dst FROM links WHERE type IN ('BUILDS_ON', 'REQUIRES')),
 one AS (SELECT input_id, seed, dst, seed AS via, 1 AS depth FROM seeds JOIN steps ON seed = src WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.input_id = seeds.input_id AND x.seed = dst)),
 ways AS (SELECT * FROM one UNION ALL SELECT input_id, seed, steps.dst, one.dst, 2 FROM one JOIN steps ON one.dst = src WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.input_id = one.input_id AND x.seed = steps.dst)),
@@ -373,13 +380,16 @@ def f3_foundations(spark, sf_dir):
     return _foundations(spark, sf_dir).withColumn("path", F.array_join(F.transform("path", lambda d: d.cast("string")), ">"))
 
 
-@query(f"""WITH {RANKED}, sums AS (SELECT input_id, l_suppkey AS person, sum(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END * score) AS s, max(year(l_shipdate)) AS last_year, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS docs FROM ranked JOIN lineitem ON l_orderkey = doc_id WHERE rank <= 6 GROUP BY input_id, l_suppkey)
-SELECT * FROM (SELECT input_id, person, score, last_year, docs, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, person) AS rank FROM (SELECT *, round(s / (1 + (max(last_year) OVER (PARTITION BY input_id) - last_year) / 6.0), 3) AS score FROM sums)) WHERE rank <= 5""")
+@query(f"""WITH {RANKED}, sums AS (SELECT input_id, l_suppkey AS person, sum(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END * score) AS s, max(year(l_shipdate)) AS last_year, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS docs FROM ranked JOIN lineitem ON l_orderkey = doc_id WHERE rank <= 6 GROUP BY input_id, l_suppkey),
+each AS (SELECT input_id, l_suppkey AS person, l_returnflag AS role, string_agg(DISTINCT doc_id::VARCHAR, '+' ORDER BY doc_id::VARCHAR) AS d FROM ranked JOIN lineitem ON l_orderkey = doc_id WHERE rank <= 6 GROUP BY ALL)
+SELECT f.*, (SELECT string_agg(role || ':' || d, ',' ORDER BY role) FROM each e WHERE e.input_id = f.input_id AND e.person = f.person) AS roles FROM (SELECT input_id, person, score, last_year, docs, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, person) AS rank FROM (SELECT *, round(s / (1 + (max(last_year) OVER (PARTITION BY input_id) - last_year) / 6.0), 3) AS score FROM sums)) f WHERE rank <= 5""")
 def f4_people(spark, sf_dir):
     weight = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.8).otherwise(0.6)
-    roles = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("person"), weight.alias("weight"), F.year("l_shipdate").alias("year"))
+    roles = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("role"), weight.alias("weight"), F.year("l_shipdate").alias("year"))
     found = expand.people_ranking(_ranked(spark, sf_dir, 6), roles)
-    return found.withColumn("docs", F.array_join(F.array_sort(F.transform("docs", lambda d: d.cast("string"))), ","))
+    joined = lambda ids, by: F.array_join(F.array_sort(F.transform(ids, lambda d: d.cast("string"))), by)
+    by_role = F.array_join(F.transform("roles", lambda r: F.concat_ws(":", r["role"], joined(r["docs"], "+"))), ",")
+    return found.withColumn("docs", joined("docs", ",")).withColumn("roles", by_role)
 
 
 @query(f"""WITH {LINEAGE}, asked AS (SELECT n_nationkey AS input_id, p_type AS concept FROM nation JOIN (SELECT DISTINCT p_type FROM part) ON n_nationkey % 7 = length(p_type) % 7), found AS (SELECT DISTINCT input_id, doc_id FROM asked JOIN strengths USING (concept) WHERE strength >= 0.8)
@@ -394,17 +404,18 @@ def f5_track_record(spark, sf_dir):
 @query("""WITH every AS (SELECT user_id AS input_id, event_type AS concern, value / 100 AS w, props AS evidence, 'i' || (event_id % 5) AS origin, 0 AS o FROM events WHERE event_id % 3 = 0
 UNION ALL SELECT user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 0.6 ELSE 0.25 END, props, 'a' || (event_id % 7), 1 FROM events WHERE event_id % 3 = 1
 UNION ALL SELECT user_id, event_type, 0.15, NULL, NULL, 2 FROM events WHERE event_id % 3 = 2),
+meant AS (SELECT user_id AS input_id, event_type AS concern, string_agg(DISTINCT 'n' || (event_id % 4), ',' ORDER BY 'n' || (event_id % 4)) AS from_intent FROM events WHERE event_id % 3 = 2 GROUP BY ALL),
 shares AS (SELECT input_id, concern, round(w / t, 3) AS weight FROM (SELECT input_id, concern, sum(w) AS w, sum(sum(w)) OVER (PARTITION BY input_id) AS t FROM every GROUP BY input_id, concern) WHERE w >= 0.04 * t),
 tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY weight DESC, concern) AS rank FROM shares) WHERE rank <= 6),
-said AS (SELECT input_id, concern, e.o, e.evidence, origin, row_number() OVER (PARTITION BY input_id, concern ORDER BY e.o, origin) AS n FROM (SELECT input_id, concern, origin, min({'o': o, 'evidence': evidence}) AS e FROM every WHERE evidence <> '' GROUP BY input_id, concern, origin))
-SELECT input_id, concern, weight, rank, coalesce((SELECT string_agg(evidence, '|' ORDER BY n) FROM said s WHERE s.input_id = tops.input_id AND s.concern = tops.concern AND n <= 2), '') AS quotes FROM tops""")
+said AS (SELECT input_id, concern, e.o, e.evidence || '@' || e.section AS evidence, origin, row_number() OVER (PARTITION BY input_id, concern ORDER BY e.o, origin) AS n FROM (SELECT input_id, concern, origin, min({'o': o, 'evidence': evidence, 'section': 's' || o}) AS e FROM every WHERE evidence <> '' GROUP BY input_id, concern, origin))
+SELECT input_id, concern, weight, rank, coalesce((SELECT string_agg(evidence, '|' ORDER BY n) FROM said s WHERE s.input_id = tops.input_id AND s.concern = tops.concern AND n <= 2), '') AS quotes, coalesce(from_intent, '') AS from_intent FROM tops LEFT JOIN meant USING (input_id, concern)""")
 def f6_objections(spark, sf_dir):
     e = expand.cut(table(spark, sf_dir, "events").select(F.col("user_id").alias("input_id"), F.col("event_type").alias("concern"), "event_id", "value", F.col("props").alias("evidence")), "events")
     k = F.col("event_id")
-    ideas = e.where(k % 3 == 0).select("input_id", "concern", (F.col("value") / 100).alias("score"), "evidence", F.concat(F.lit("i"), (k % 5).cast("string")).alias("origin"))
-    area = e.where(k % 3 == 1).select("input_id", "concern", F.when(k % 2 == 0, "decision").otherwise("compat").alias("context"), "evidence", F.concat(F.lit("a"), (k % 7).cast("string")).alias("origin"))
-    found = expand.objections(ideas, area, e.where(k % 3 == 2).select("input_id", "concern"))
-    return found.withColumn("quotes", F.array_join("quotes", "|"))
+    ideas = e.where(k % 3 == 0).select("input_id", "concern", (F.col("value") / 100).alias("score"), "evidence", F.concat(F.lit("i"), (k % 5).cast("string")).alias("origin"), F.lit("s0").alias("section"))
+    area = e.where(k % 3 == 1).select("input_id", "concern", F.when(k % 2 == 0, "decision").otherwise("compat").alias("context"), "evidence", F.concat(F.lit("a"), (k % 7).cast("string")).alias("origin"), F.lit("s1").alias("section"))
+    found = expand.objections(ideas, area, e.where(k % 3 == 2).select("input_id", "concern", F.concat(F.lit("n"), (k % 4).cast("string")).alias("intent")))
+    return found.withColumn("quotes", F.array_join(F.transform("quotes", lambda q: F.concat_ws("@", q["quote"], q["section"])), "|")).withColumn("from_intent", F.array_join("from_intent", ","))
 
 
 @query(f"""WITH {RANKED} SELECT input_id, first(o_orderpriority ORDER BY year(o_orderdate) DESC, rank) AS venue, first(doc_id ORDER BY year(o_orderdate) DESC, rank) AS doc_id FROM ranked JOIN orders ON o_orderkey = doc_id WHERE rank <= 6 AND o_orderpriority <> '5-LOW' GROUP BY input_id""")
@@ -635,7 +646,7 @@ def h1_counts_by_type(spark, sf_dir):
     """Counts of a graph that was written by type and read again."""
     from ..sources.corpus import read_graph, write_graph
 
-    typed = relations.typed_references(_cited(spark, sf_dir), _dated(spark, sf_dir))
+    typed = _typed(spark, sf_dir)
     edges = relations.edges(typed.select(relations.key("doc", "src").alias("src"), relations.key("doc", "dst").alias("dst"), "type", "section"))
     nodes = _dated(spark, sf_dir).select(relations.key("doc", "doc_id").alias("id"), F.col("outcome").alias("type"))
     path = scratch(spark, "graph")
@@ -649,15 +660,25 @@ def h2_concept_lineage(spark, sf_dir):
     focused = _focused(spark, sf_dir)
     failed = _meta(spark, sf_dir).where("outcome = 'failed'").select("doc_id")
     subjects = focused.join(failed, "doc_id", "left_semi").select(F.col("doc_id").alias("idea_id"), "concept")
-    found = summary.concept_lineage(_lineage(spark, sf_dir), subjects)
-    total = F.aggregate("PROPOSES", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("concept", F.array_join(F.transform("INTRODUCES", lambda d: d.cast("string")), ",").alias("introduced"), F.size("EXTENDS").cast("long").alias("extended"), total.alias("proposed_ids"), "ideas")
+    lists, counts = summary.concept_lineage(_lineage(spark, sf_dir), subjects, 5000)
+    ids = F.array_join(F.transform("ids", lambda d: d.cast("string")), ",")
+    first = lists.where("relation = 'INTRODUCES'").select("concept", ids.alias("introduced"))
+    proposed = lists.where("relation = 'PROPOSES'").groupBy("concept").agg(F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("proposed_ids"))
+    found = counts.where("introduced + extended + proposed > 0").select("concept", "extended", "ideas").join(first, "concept", "left").join(proposed, "concept", "left")
+    return found.na.fill("", ["introduced"]).na.fill(0, ["proposed_ids"]).select("concept", "introduced", "extended", "proposed_ids", "ideas")
+
+
+@query(f"""WITH {LINEAGE} SELECT concept, relation, doc_id // 5000 AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM lineage WHERE relation <> 'MENTIONS' GROUP BY ALL""")
+def h2_lineage_lists(spark, sf_dir):
+    """The documents of each concept and relation, in parts by ranges of their ids."""
+    lists, _ = summary.concept_lineage(_lineage(spark, sf_dir), _focused(spark, sf_dir).select(F.col("doc_id").alias("idea_id"), "concept"), 5000)
+    return lists.withColumn("ids", F.array_join(F.transform("ids", lambda d: d.cast("string")), ","))
 
 
 @query(f"""WITH {LINEAGE}, {LINKS} SELECT doc_id, coalesce((SELECT string_agg(concept, ',' ORDER BY weight DESC, concept) FROM focused f WHERE f.doc_id = m.doc_id AND focus), '') AS focus, coalesce((SELECT string_agg(DISTINCT dst::VARCHAR, ',') FROM links l WHERE l.src = m.doc_id AND type = 'BUILDS_ON'), '') AS builds_on, (SELECT count(*) FROM lineitem WHERE l_orderkey = m.doc_id AND l_returnflag = 'R') AS considered FROM meta m""")
 def h3_corpus_table(spark, sf_dir):
     ideas = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id"))
-    found = summary.corpus_table(_meta(spark, sf_dir), _focused(spark, sf_dir), _links(spark, sf_dir), ideas)
+    found = summary.corpus_table(_meta(spark, sf_dir).select("doc_id").join(relations.focus_lists(_focused(spark, sf_dir)), "doc_id", "left"), _links(spark, sf_dir), ideas)
     return found.select("doc_id", F.array_join("focus", ",").alias("focus"), F.array_join(F.transform("builds_on", lambda d: d.cast("string")), ",").alias("builds_on"), "considered")
 
 

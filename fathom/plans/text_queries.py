@@ -187,9 +187,12 @@ def c6_detect_intents(spark, sf_dir):
 
 
 @query(r"""SELECT page_id, r AS doc_id, count(*) AS n FROM (
-SELECT page_id, unnest(list_concat(['12'], regexp_extract_all(regexp_replace(url, '/(fr|en|de|es)/', ' PAGE ', 'g'), '(?i)\bpage[\s-]*0*(\d+)\b', 1)))::BIGINT AS r FROM pages) WHERE r <> 0 GROUP BY page_id, r""")
+SELECT page_id, unnest(list_concat(['12'], list_concat([(page_id + 3)::VARCHAR, (page_id % 7)::VARCHAR], regexp_extract_all(regexp_replace(url, '/(fr|en|de|es)/', ' PAGE ', 'g'), '(?i)\bpage[\s-]*0*(\d+)\b', 1))))::BIGINT AS r FROM pages) WHERE r <> 0 GROUP BY page_id, r""")
 def c7_references(spark, sf_dir):
-    cited = F.concat(F.regexp_replace("url", "/(fr|en|de|es)/", " PAGE "), F.lit(" as in :page:`12`"))
+    """Running text, roles with and without a target, labels with numbers of their own, and a role that cites nothing."""
+    n = F.col("page_id")
+    label = F.concat(F.lit(" as in :page:`12`, :page:`Notes 3 of page 5 <"), (n + 3).cast("string"), F.lit("#s2>`, :page:`x 9 <00"), (n % 7).cast("string"), F.lit(">` and :page:`see 4`"))
+    cited = F.concat(F.regexp_replace("url", "/(fr|en|de|es)/", " PAGE "), label)
     return table(spark, sf_dir, "pages").select("page_id", F.explode(tx.references(cited, "page")).alias("doc_id")).groupBy("page_id", "doc_id").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,31 @@ def read_cases(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(f"about string, cases array<{case}>").json(list(paths), multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes by (type, id), edges by (type, src, dst, section), a folder for each type."""
-    for table, name, order in ((nodes, "nodes", ["id"]), (edges, "edges", ["src", "dst", "section"])):
-        table.sortWithinPartitions("type", *order).write.partitionBy("type").parquet(f"{path}/{name}")
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, only: Iterable[str] | None = None, last: Callable[[DataFrame], DataFrame] = lambda edges: edges) -> None:
+    """Nodes by (type, id), edges by (type, src, dst, section), a folder for each type.
+
+    Rows are dealt out in ranges of that order, so that files follow it across
+    tasks. With `only`, these types replace what is there of them. last: applied
+    to the edges as they are written.
+    """
+    for table, name, order, put in ((nodes, "nodes", ["id"], lambda df: df), (edges, "edges", ["src", "dst", "section"], last)):
+        order = ["type", *(c for c in order if c in table.columns)]
+        ranged = put(table.repartitionByRange(*order).sortWithinPartitions(*order))
+        ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only is not None else "static").partitionBy("type").parquet(f"{path}/{name}")
+        if only is not None:
+            _drop_types(table, name, path, set(only))
+
+
+def _drop_types(table: DataFrame, name: str, path: str, types: set[str]) -> None:
+    """Types that have no rows any more: a dynamic overwrite leaves their folders alone."""
+    spark = table.sparkSession
+    here = {r.type for r in table.select("type").distinct().collect()}  # a row for each type
+    for gone in types - here:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/type={gone}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+def read_graph(spark: SparkSession, path: str, nodes: str | None = None, edges: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, with the given schemas or those of the files."""
+    read = lambda schema: spark.read.schema(schema) if schema else spark.read
+    return read(nodes).parquet(f"{path}/nodes"), read(edges).parquet(f"{path}/edges")
