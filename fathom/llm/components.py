@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import discard, spool
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,4 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = spool(small.union(low).distinct())
+        before, e = e, spool(small.union(low).distinct())
+        discard(before)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, groups, mix, rooted, row_key, run_hashes, signed, spool, window_hashes, word_hashes
+from .common import bytes_of, discard, groups, mix, rooted, row_key, run_hashes, signed, spool, window_hashes, word_hashes
 from .components import components
 
 _SEED = 20240611
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     right = all_.select("grp", every(F.col("i")).alias("lo"), mine(F.col("j")).alias("hi"), F.lit(1).alias("side"), "node")
     more = confirmed(left.union(right).join(texts, "node"), words, percent)
     joined = components(star.where("linked").select(F.col("node").alias("u"), F.col("grp").alias("v")).union(more))
+    discard(texts, members, star)
 
     named = classes.select(*set_of, "node", "doc").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc").alias("_least"))
