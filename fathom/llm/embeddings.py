@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix, rooted, signed, spool
+from .common import discard, groups, mix, rooted, spool
 from .components import components
 
 _SEED = 20240613
@@ -49,7 +49,7 @@ def same_cell(distance: float, width: float) -> float:
     return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
 
 
-def tables_for(n: int, least: float, width: float, recall: float, mates: float = 16.0) -> tuple[int, int]:
+def tables_for(n: int, least: float, width: float, recall: float, mates: float = 64.0) -> tuple[int, int]:
     """How many tables of how many projections find a pair at the least cosine with this probability.
 
     Of n vectors of a label about `mates` that are at right angles share a bucket with each.
@@ -60,7 +60,9 @@ def tables_for(n: int, least: float, width: float, recall: float, mates: float =
 
 
 def compared(buckets: DataFrame, least: float) -> DataFrame:
-    """buckets(band, label, key, lo, hi, side, node, class, size, vector, keys) -> node, class, links, root.
+    """buckets(band, label, dims, key, lo, hi, side, node, class, size, vector, keys) -> node, class, links, root.
+
+    All vectors of a bucket have `dims` components; keys are those of the bands before.
 
     links: vectors that the node is linked to here; root: the smallest node that
     it is joined to here. A pair counts in the first table that both share, so
@@ -69,39 +71,29 @@ def compared(buckets: DataFrame, least: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for t in groups(batches, ["band", "label", "key", "lo", "hi"]):
+        for t in groups(batches, ["band", "label", "dims", "key", "lo", "hi"]):
             t = t.combine_chunks()
             side, node, size = (t.column(c).to_numpy() for c in ("side", "node", "size"))
             same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-            band = t.column("band")[0].as_py()
             if t.num_rows < 2:
                 continue
-            lists = t.column("vector").combine_chunks() if isinstance(t.column("vector"), pa.ChunkedArray) else t.column("vector")
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            own = t.column("keys").combine_chunks() if isinstance(t.column("keys"), pa.ChunkedArray) else t.column("keys")
-            keys = own.flatten().to_numpy().reshape(t.num_rows, -1)
+            matrix = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            keys = matrix("keys")
             one = np.flatnonzero(side == 0)
             two = one if same else np.flatnonzero(side == 1)
             if not len(one) or not len(two):
                 continue
+            unit = matrix("vector").astype(np.float64)
+            unit /= np.abs(unit).max(1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            i, j = np.nonzero(unit[one] @ unit[two].T >= least)
+            first = (i < j) if same else np.ones(len(i), dtype=bool)
+            i, j = one[i[first]], two[j[first]]
             pairs = []
-            lengths = np.diff(at)
-            for dims in np.unique(lengths):
-                a, b = one[lengths[one] == dims], two[lengths[two] == dims]
-                if not len(a) or not len(b):
-                    continue
-                x, y = (flat[at[s][:, None] + np.arange(dims)].astype(np.float64) for s in (a, b))
-                for m in (x, y):
-                    m /= np.abs(m).max(1, keepdims=True)
-                    m /= np.linalg.norm(m, axis=1, keepdims=True)
-                i, j = np.nonzero(x @ y.T >= least)
-                i, j = a[i], b[j]
-                first = (i < j) if same else np.ones(len(i), dtype=bool)
-                i, j = i[first], j[first]
-                for at in range(0, len(i), 1 << 16):
-                    p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                    new = ~(keys[p, :band] == keys[q, :band]).any(1)
-                    pairs.append(np.stack([p[new], q[new]], axis=1))
+            for lo in range(0, len(i), 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                new = ~(keys[p] == keys[q]).any(1)
+                pairs.append(np.stack([p[new], q[new]], axis=1))
             if not pairs or not sum(map(len, pairs)):
                 continue
             pairs = np.concatenate(pairs)
@@ -119,21 +111,21 @@ def compared(buckets: DataFrame, least: float) -> DataFrame:
             out[3].extend(node[order[root[rank[hit]]]].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "class", "links", "root"])
 
-    by = ["band", "label", "key", "lo", "hi"]
+    by = ["band", "label", "dims", "key", "lo", "hi"]
     return buckets.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "node long, class long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, width: float = 2.0, tables: int | None = None, projections: int | None = None, block: int = 500) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, width: float = 3.0, tables: int | None = None, projections: int | None = None, block: int = 500) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row per vector.
 
     Vectors of one label whose cosine, in double precision, is at least `least`
     are linked. n_links: other vectors linked directly; component_id: the
     smallest vec_id that links reach; kept: it is the vector's own. Vectors that
     are null, empty or zero, or have null or non-finite components, and those
-    with a null label or vec_id, are linked with nothing and kept. Vectors of
-    different lengths aren't linked. Rows with equal vec_ids count as several
-    vectors, each with its own links, and share their component. Other columns
-    are ignored.
+    with a null label or vec_id, are linked with nothing. Vectors of different
+    lengths aren't linked. Rows with equal vec_ids count as several vectors, each
+    with its own links, and share their component and whether they are kept, rows
+    that link with nothing among them. Other columns are ignored.
 
     Equal vectors of a label form a class, of which one goes on. Random
     projections onto cells of the given width put the normalised vectors into
@@ -153,13 +145,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.99,
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
         tables, projections = tables_for(most, least, width, recall)
     keyed = spool(hashed(classes, tables, projections, width))
-    places = keyed.select("node", "class", "label", F.posexplode("keys").alias("band", "key"))
-    at = ["band", "label", "key"]
+    places = keyed.select("node", "class", "label", F.size("vector").alias("dims"), F.posexplode("keys").alias("band", "key"))
+    at = ["band", "label", "dims", "key"]
     shared = places.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     mine = F.pmod("class", F.col("blocks")).cast("int")
     dealt = places.join(shared, at).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*at, "node", "class", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    found = spool(compared(dealt.join(keyed.drop("label"), ["node", "class"]), least))
+    # only vectors that share a bucket travel, each with the keys of the bands before, which say whether a pair has been met
+    joined = dealt.join(keyed.drop("label"), ["node", "class"]).withColumn("keys", F.slice("keys", 1, F.col("band")))
+    found = spool(compared(joined, least))
+    discard(keyed)
 
     links = found.groupBy("node", "class").agg(F.sum("links").alias("links"))
     # a vec_id of several classes joins them
