@@ -112,14 +112,21 @@ def fit(train: DataFrame, dims: int = 8192, clusters: int = 4, sample: int = 400
     texts = train.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), "text")
     chosen = texts.join(F.broadcast(chosen), F.expr("doc_id <=> _doc and lang = _lang")).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [vector(ngrams(text, dims), idf).tobytes() for text in bytes_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(made, pa.binary())], ["lang", "doc_id", "vector"])
+
     def centres(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
-        x = np.array([vector(ngrams(np.frombuffer(t.encode(), dtype=np.uint8), dims), idf) for t in rows.text])
+        x = np.array([np.frombuffer(v, dtype=np.float32) for v in rows.vector])
         found = clustered(x, clusters)
         near = x @ found.T
         radii = [1 - np.quantile(near[near.argmax(1) == k, k], 0.01) if (near.argmax(1) == k).any() else 0.0 for k in range(len(found))]
         return pd.DataFrame({"lang": key[0], "centre": [c.tobytes() for c in found], "radius": radii})
 
+    # texts of any length become vectors of one length before they meet by language
+    chosen = chosen.mapInArrow(vectors, "lang string, doc_id long, vector binary")
     rows = chosen.groupBy("lang").applyInPandas(centres, "lang string, centre binary, radius double").orderBy("lang", "centre").collect()  # at most MOST_LANGUAGES * clusters rows
     return {"langs": [r.lang for r in rows], "idf": idf, "centres": np.array([np.frombuffer(r.centre, dtype=np.float32) for r in rows]), "radii": np.array([r.radius for r in rows])}
 

@@ -19,7 +19,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: What may be a random string: a run of the characters of keys and of base64, not within a longer word.
-_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{20,}={0,2}(?!\w)")
+_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{16,}={0,2}(?!\w)")
 #: Places and addresses: what stands before a run in a path, a name of a host, an address of mail.
 _PLACE = re.compile(r"(?:://|www\.|@)[^\s\"'<>]*$")
 #: Known digests: hex of the usual lengths, and named ones in hex or base64; identifiers: UUIDs, numbers, names made of words.
@@ -68,8 +68,8 @@ def is_identifier(run: str, before: str) -> bool:
 
 
 def variety(run: str) -> int:
-    """How many of lower case, upper case and digits it has."""
-    return any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run) + any("0" <= c <= "9" for c in run)
+    """How many of lower case, upper case (behind the first letter, which prose may write large) and digits it has."""
+    return any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run[1:]) + any("0" <= c <= "9" for c in run)
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], encoding, most: float, known: frozenset[str]) -> list[tuple[int, int, str]]:
@@ -89,7 +89,7 @@ def scan_secrets(docs: DataFrame, ranks: str, pattern: str, most: float = 2.0, k
 
     Kinds: "assign" (a name of a credential with a value), "access" (AKIA...),
     "hex" (16 lower-case hex digits or more), and "random", the token-efficiency
-    test: a run of 20 or more characters of keys, with at least two of lower case,
+    test: a run of 16 or more characters of keys, with at least two of lower case,
     upper case and digits, which the vocabulary `ranks` (byte-level ranks, with
     its `pattern`) can't bring below one token for `most` characters. Prose has
     about four characters per token, random letters and digits below two. The
