@@ -318,13 +318,45 @@ def test_near_vectors(spark):
     assert got == [(3, 1, 3, True), (5, 0, 3, False), (5, 1, 3, False), (5, 2, 3, False), (7, 2, 3, False), (8, 2, 3, False), (9, 0, 9, True)]
 
 
+def test_near_vectors_of_many_lengths(spark):
+    """Hundreds of vectors of each length under one label, in common buckets."""
+    import numpy as np
+
+    rng, table = np.random.default_rng(8), []
+    for dims in (4, 6, 9):
+        for _ in range(40):
+            centre = rng.standard_normal(dims)
+            table += [(len(table) + k, [float(x) for x in centre + rng.standard_normal(dims) * 0.03], 1) for k in range(4)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").repartition(3)
+    cols = ["vec_id", "n_links", "component_id", "kept"]
+    want = brute.vectors(table)
+    same(near_vectors(df, recall=0.99999), cols, want)
+    same(near_vectors(df, recall=0.99999, block=20), cols, want)
+
+
+def test_lines_in_long_documents(spark):
+    """Time follows the number of lines, also where thousands of them go."""
+    import time
+
+    def took(n: int) -> float:
+        text = "\n".join(f"A line of some length that several documents share, number {k}" for k in range(n))
+        df = spark.createDataFrame([(k, f"own {k}\n{text}\n\nend") for k in range(6)], "doc_id long, text string")
+        began = time.time()
+        found = {r.doc_id: r for r in dedup_lines(df).collect()}
+        assert found[0].n_dropped == n and found[0].text == "own 0\n\nend" and found[5].n_dropped == 0 and found[5].n_lines == n + 3
+        return time.time() - began
+
+    took(100)
+    assert took(40_000) < 30
+
+
 def test_tables_follow_size():
     from fathom.llm.embeddings import same_cell, tables_for
 
     for n in (0, 5, 1000, 10**6, 10**9):
-        tables, projections = tables_for(n, 0.93, 2.0, 0.99)
-        assert 1 - (1 - same_cell((2 - 1.86) ** 0.5, 2.0) ** projections) ** tables >= 0.99
-        assert n * same_cell(2**0.5, 2.0) ** projections <= 16
+        tables, projections = tables_for(n, 0.93, 3.0, 0.99)
+        assert 1 - (1 - same_cell((2 - 1.86) ** 0.5, 3.0) ** projections) ** tables >= 0.99
+        assert n * same_cell(2**0.5, 3.0) ** projections <= 64
 
 
 # 8

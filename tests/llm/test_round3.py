@@ -195,7 +195,7 @@ SECRETS = [
     (7, "md5 9e107d9d372bb6826bd81d3542a419d6 and 9E107D9D372BB6826BD81D3542A419D6 and sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="),
     (8, "123e4567-e89b-12d3-a456-426614174000 12345678901234567890123 2024-01-01_00-00-00+0000 aVeryLongIdentifierOfWords42 some_snake_case_name_v2"),
     (9, "https://example.com/path/q7Zp2LxV9mK4tRbW8sYc3NdF user@q7Zp2LxV9mK4tRbW8sYc3NdF.org"),
-    (10, "Donaudampfschifffahrtsgesellschaft Échaiellanmentouauxreê ERSCHSCHBERBERTZUNGKEIT"),
+    (10, "Donaudampfschifffahrtsgesellschaft Échaiellanmentouauxreê ERSCHSCHBERBERTZUNGKEIT Schpfgegebeunger Schpfgegebeungerschpf 4379362835490466"),
     (11, prose(3, 400)),
     (12, "deadbeefdeadbeefdead0 x" + "ab12" * 5000),
     (None, f"nameless {RANDOM}"),
