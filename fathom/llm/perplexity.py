@@ -254,6 +254,13 @@ def _decoded(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64), dtype=np.uint64)
 
 
+def _digest(keys: np.ndarray) -> bytes:
+    """16 bytes that tell whether an answer is to these keys."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(keys.tobytes())
+
+
 def _orders(top: np.ndarray, fold: int) -> Iterator[np.ndarray]:
     """The tagged n-grams of each order that end n-grams of the highest one, for each of these."""
     for m in range(1, ORDER + 1):
@@ -340,7 +347,7 @@ def answers(asked: DataFrame, values: DataFrame, bounds: np.ndarray) -> DataFram
                     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     out[0].append(chunk)
                     out[1].append(int(shard))
-                    out[2].append(pack(np.where(keys[at] == wanted, found[at], 0.0).astype("<f4").tobytes()))
+                    out[2].append(_digest(wanted) + pack(np.where(keys[at] == wanted, found[at], 0.0).astype("<f4").tobytes()))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "values"])
 
@@ -361,8 +368,8 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
 
     Texts are packed into chunks, once. A chunk asks each shard of the model for
     its different n-grams, and what comes back is joined with the chunk, whose
-    texts are then summed up. Null and empty texts, and folds without a model,
-    are left out.
+    texts are then summed up. A hash says whether an answer is to the block that
+    asked. Null and empty texts, and folds without a model, are left out.
     """
     if model is None:
         return docs.select(row_key().alias("row"), F.lit(None).cast("double").alias("nll")).where("false")
@@ -372,15 +379,19 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        answered = {shard: np.frombuffer(unpack(v), "<f4") for shard, v in zip(found.column("shard").to_pylist(), found.column("values").to_pylist(), strict=True)}
+        answered = {shard: (v[:16], np.frombuffer(unpack(v[16:]), "<f4")) for shard, v in zip(found.column("shard").to_pylist(), found.column("values").to_pylist(), strict=True)}
         asked, packed = [], []
         for shard, data in zip(chunk.column("shard").to_pylist(), chunk.column("data").to_pylist(), strict=True):
             if shard is None:
                 packed.append(data)
             else:
-                asked.append((_decoded(data), answered[shard]))
-        if len(packed) != 1 or any(len(k) != len(v) for k, v in asked):
-            raise ValueError("the documents came in another order when they were read again: write them to a table first")
+                keys = _decoded(data)
+                digest, value = answered.get(shard, (b"", None))
+                if digest != _digest(keys):
+                    raise ValueError("the documents came in another order when they were read again: write them to a table first")
+                asked.append((keys, value))
+        if len(packed) != 1:
+            raise ValueError("a chunk came twice: write the documents to a table first")
         keys, value = (np.concatenate(x) for x in zip(*asked, strict=True))
         order = np.argsort(keys)
         keys, value = keys[order], value[order].astype(np.float64)
@@ -402,7 +413,10 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
                 done += len(piece)
         return pa.table({"row": pa.array(rows_, pa.int64()), "nll": pa.array(nlls, pa.float64())})
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # chunks are made twice, of the rows as they are read: what comes out of a shuffle, in any order, is written first
+    written = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+    docs = spool(docs.select("doc_id", "text")) if written else docs
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # these follow the bytes read
     shards = max(partitions, -(-values.count() // per_shard))
     bounds = values.stat.approxQuantile("key", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
     bounds = np.unique(np.array(bounds, dtype=np.float64)).astype(np.int64)  # a number for each shard
@@ -410,7 +424,10 @@ def scored(docs: DataFrame, model: tuple[DataFrame, dict[int, float]] | None, pe
     made = chunks_of(docs.select((FOLDS - 1 - fold_of()).alias("fold"), row_key().alias("row"), "text"), bounds).repartition(partitions, "chunk")
     found = answers(made, values, bounds)
     each = made.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "row long, nll double")
-    return spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
+    out = spool(each.groupBy("row").agg(F.round(F.min("nll"), 6).alias("nll")))  # repeated rows have one key and one sum
+    if written:
+        discard(docs)
+    return out
 
 
 def thresholds(scores: DataFrame, by: list[str], quantile: float, step: float, least: int) -> DataFrame:
