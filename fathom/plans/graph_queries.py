@@ -576,20 +576,18 @@ def _gold(spark, sf_dir):
 def holders(items, docs):
     """items(input_id, start), docs(doc_id, text) -> input_id, doc_id where the text holds the start, which isn't empty.
 
-    A text that holds a start holds the words between its blanks: two with one
-    blank between them, if it has such, else one. These meet the texts' in a join,
-    and what meets is tested. Starts without any, which are short or odd, are
-    tested on every text.
+    A text that holds a start holds the words between its blanks. The rarest of
+    them in the texts finds the texts to test. Starts without any, which are short
+    or odd, are tested on every text.
     """
-    pair, word = F.regexp_extract("start", r"\s(\S+ \S+)\s", 1), F.regexp_extract("start", r"\s(\S+)\s", 1)
-    items = items.where("start <> ''").withColumn("key", F.when(pair != "", pair).otherwise(word))
-    docs = docs.select("doc_id", "text")
-    split = docs.select("doc_id", F.split(F.regexp_replace("text", r"\s", " "), " ").alias("w"))
-    pairs = F.transform(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w))").alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
-    keys = split.select("doc_id", F.explode(F.concat(F.col("w"), F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("key"))
-    hits = keys.join(items.select("key").where("key <> ''").distinct(), "key", "left_semi").distinct()
-    some = hits.join(items, "key").join(docs, "doc_id").where(F.contains("text", F.col("start")))
-    rest = docs.join(items.where("key = ''"), F.contains("text", F.col("start")))
+    items, docs = items.where("start <> ''"), docs.select("doc_id", "text")
+    own = items.select("input_id", F.explode(F.array_distinct(F.regexp_extract_all("start", F.lit(r"(?<=\s)(\S+)(?=\s)"), F.lit(1)))).alias("word"))
+    words = docs.select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).join(own.select("word").distinct(), "word", "left_semi").distinct()
+    words = expand.cut(words, "words")
+    counts = words.groupBy("word").agg(F.count("*").alias("c"))
+    rare = own.join(counts, "word", "left").groupBy("input_id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))["word"].alias("word"))
+    some = words.join(rare, "word").join(items, "input_id").join(docs, "doc_id").where(F.contains("text", F.col("start")))
+    rest = docs.join(items.join(own.select("input_id").distinct(), "input_id", "left_anti"), F.contains("text", F.col("start")))
     return some.select("input_id", "doc_id").union(rest.select("input_id", "doc_id")).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..operators.dictionary import phrase_counts, words_of
 from ..session import shared_dir
 from ..sources import corpus
 from .registry import query, table
@@ -155,6 +156,20 @@ def c1_count_concepts(spark, sf_dir):
     return docs.select("doc_id", F.explode(lx.count_concepts("text", CONCEPTS)).alias("c")).select("doc_id", "c.concept", "c.n")
 
 
+@query("""WITH spelt AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark), places AS (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM spelt),
+phrases AS (SELECT DISTINCT item_id, CASE WHEN i % 3 = 0 AND i + 2 <= len(w) THEN array_to_string(w[i:i + 2], ' ') ELSE array_to_string(w[i:i + 1], ' ') END AS p FROM places),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), starts AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM texts),
+runs AS (SELECT doc_id, array_to_string(w[i:i + 1], ' ') AS p FROM starts UNION ALL SELECT doc_id, array_to_string(w[i:i + 2], ' ') FROM starts WHERE i + 2 <= len(w))
+SELECT doc_id, 'item' || item_id AS concept, count(*) AS n FROM runs JOIN phrases USING (p) GROUP BY doc_id, item_id""")
+def c1_dictionary(spark, sf_dir):
+    """All word pairs of the benchmark's items, and some triples, as a lexicon of thousands of phrases."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(words_of("text"))).alias("w"))
+    places = items.where(F.size("w") > 1).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    three = (F.col("i") % 3 == 0) & (F.col("i") + 2 <= F.size("w"))
+    phrases = places.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("concept"), F.array_join(F.slice("w", F.col("i"), F.when(three, 3).otherwise(2)), " ").alias("phrase"))
+    return phrase_counts(table(spark, sf_dir, "documents"), phrases, ["doc_id"])
+
+
 @query("SELECT page_id, concept FROM (" + " UNION ALL ".join(f"SELECT page_id, {_q(c.id)} AS concept FROM pages WHERE " + " OR ".join(f"regexp_matches(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '[`*]', '', 'g'), {_q('(?i)' + p)})" for p in c.phrases) for c in CONCEPTS) + ")")
 def c2_concepts_in_heading(spark, sf_dir):
     title = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
