@@ -338,20 +338,22 @@ def revisit_pairs(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, leas
     return pairs.groupBy("idea_id", "origin", "doc_id").agg(F.array_sort(F.collect_set("concept")).alias("shared"))
 
 
-def similar_revisits(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, index: TfIdf, vectors: DataFrame, least: float = 3, aware: float = 0.15, most: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """revisit_pairs() with a cosine of at least `aware`, and their cosines; pairs below are not made.
+def similar_revisits(subjects: DataFrame, focuses: DataFrame, meta: DataFrame, index: TfIdf, vectors: DataFrame, cited: DataFrame, least: float = 3, strong: float = 0.30, aware: float = 0.15, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """revisit_pairs() that revisits() may keep, and their cosines: at least `strong`, or `aware` where cited(src, dst) says that the document cites the rejecting one.
 
-    vectors: index.query_vectors() of the ideas. Rejected ideas meet later
-    documents by concept and term, and only by the terms in the prefixes of
-    both (see retrieval.prefixes), so by rare ones; keys that many documents have
-    are dealt out by date.
+    vectors: index.query_vectors() of the ideas. Documents that cite the
+    rejecting one are found by that. All others meet ideas by concept and term,
+    and only by the terms in the prefixes of both (see retrieval.prefixes) that
+    leave `strong` in reach; keys that many documents have are dealt out by date.
     """
     origin = meta.select(F.col("doc_id").alias("origin"), day("created").alias("_since"))
     ours = cut(subjects.where(F.col("weight") >= least).join(origin, "origin").select("idea_id", "origin", "concept", "_since"), "subjects")
     later = cut(focuses.join(meta.where("outcome = 'accepted'").select("doc_id", day("created").alias("_day")), "doc_id"), "later")
-    left, right = levelled(prefixes(vectors, index.idf, aware, "idea_id"), prefixes(index.vectors, index.idf, aware, "doc_id"), aware)
-    met = similar_pairs(ours.join(left, "idea_id"), later.join(right, "doc_id"), ["concept", "term", "level"], "_since", "_day", most).where("doc_id <> origin").select("idea_id", "doc_id").distinct()
-    cosine = cut(pair_cosines(index, vectors, met, "idea_id").where(F.col("cosine") >= aware), "cosines")
+    left, right = levelled(prefixes(vectors, index.idf, strong, "idea_id"), prefixes(index.vectors, index.idf, strong, "doc_id"), strong)
+    met = similar_pairs(ours.join(left, "idea_id"), later.join(right, "doc_id"), ["concept", "term", "level"], "_since", "_day", most).where("doc_id <> origin")
+    knows = ours.join(cited.select(F.col("src").alias("doc_id"), F.col("dst").alias("origin")).distinct(), "origin").join(later, ["doc_id", "concept"]).where("_day > _since and doc_id <> origin")
+    pairs = met.select("idea_id", "doc_id").union(knows.select("idea_id", "doc_id")).distinct()
+    cosine = cut(pair_cosines(index, vectors, pairs, "idea_id").where(F.col("cosine") >= aware), "cosines")
     shared = cosine.select("idea_id", "doc_id").join(ours, "idea_id").join(later.select("doc_id", "concept"), ["doc_id", "concept"])
     return cosine, shared.groupBy("idea_id", "origin", "doc_id").agg(F.array_sort(F.collect_set("concept")).alias("shared"))
 

@@ -25,7 +25,7 @@ LEXICON = lx.Lexicon(
 
 #: Sections: when a document k has them, level, title, and text in SQL; `{x}` are columns or expressions.
 IDEA = "'We rejected ' || source || ' because it is slow for plan' || (doc_id % 37) || ', see doc ' || (doc_id // 5) || '. However the reader may find it confusing and costly.'"
-AGAIN = "'Use ' || lang || ' instead of ' || source || ', because plan' || (doc_id % 37) || ' was rejected as slow.'"
+AGAIN = "'Use ' || lang || ' instead of ' || source || ', because plan' || (doc_id % 37) || ' was rejected as slow. ' || replace(left(text, 60), chr(10), ' ')"
 ABSTRACT = f"CASE WHEN doc_id % 9 = 0 THEN {AGAIN} || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10) || 'It builds on doc ' || (doc_id // 3) || '.'"
 LAYOUT = (
     ("doc_id >= 0", 1, "'Abstract'", ABSTRACT, "abstract"),
@@ -58,7 +58,7 @@ def design_documents(spark, sf_dir):
     )
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     idea = text("We rejected ", source, " because it is slow for ", plan, ", see doc ", n(F.floor(k / 5)), ". However the reader may find it confusing and costly.")
-    again = text("Use ", lang, " instead of ", source, ", because ", plan, " was rejected as slow.\n\n")
+    again = text("Use ", lang, " instead of ", source, ", because ", plan, " was rejected as slow. ", F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), "\n\n")
     nested = k % 4 == 1
 
     def section(rule: str, title, own, when=None):
