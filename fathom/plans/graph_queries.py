@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, expand, relations, retrieval, summary
-from .registry import query, table
+from .registry import ORACLES, query, table
 from .text_queries import WORDS, scratch, terms_sql
 
 # ---------------------------------------------------------------- TF-IDF
@@ -542,6 +542,73 @@ def f13_assessed(spark, sf_dir):
     return out.select("input_id", "verdict.label", "verdict.confidence", F.coalesce(F.size("closest"), F.lit(0)).cast("long").alias("n_close"), ids.alias("close"))
 
 
+SUMMARIES = f"""{VERDICTS}, {LINKS}, {VERSIONS}, newer AS (SELECT doc_id AS basis_doc, ' Newer: ' || string_agg('doc ' || next, ', ' ORDER BY next) || '.' AS newer FROM versions GROUP BY doc_id),
+first_ AS (SELECT input_id, 'doc ' || doc_id || ' (Order ' || doc_id || ', ' || o_orderstatus || ')' AS top FROM tops JOIN orders ON o_orderkey = doc_id WHERE rank = 1),
+known AS (SELECT c_custkey AS input_id, 'area ' || c_nationkey || ', ' || c_mktsegment AS known FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0),
+told AS (SELECT v.input_id, CASE label WHEN 'already_exists' THEN top || ' does this already; what it lacks would be an extension of it.' || coalesce(newer, '') WHEN 'previously_rejected' THEN top || ' asked for this and failed; its decision has the reasons to answer.' || coalesce(newer, '')
+ WHEN 'in_progress' THEN top || ' is still open on this subject; joining it may be better than a rival.' || coalesce(newer, '') WHEN 'previously_rejected_alternative' THEN 'Turned down before: "Plan ' || v.input_id || '" in doc ' || (v.input_id + 7) || '.' || CASE WHEN v.input_id % 8 = 0 THEN ' Taken up later by doc ' || (v.input_id + 9) || '.' ELSE '' END
+ WHEN 'extends_existing_area' THEN 'New within a known area (' || coalesce(known, '') || ').' || coalesce(' Nearest: ' || top || '.', '') ELSE 'No known concept is touched.' || coalesce(' By wording alone nearest: ' || top || '.', '') END AS summary
+ FROM verdicts v LEFT JOIN newer USING (basis_doc) LEFT JOIN first_ USING (input_id) LEFT JOIN known USING (input_id))"""
+
+
+@query(f"WITH {SUMMARIES} SELECT input_id, summary FROM told")
+def f10_summaries(spark, sf_dir):
+    """What verdicts say, with newer versions, rejected ideas and what became of them."""
+    customers, i = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    ideas = customers.select(F.concat(F.lit("idea:"), i.cast("string")).alias("idea_id"), (i + 7).alias("doc_id"), F.concat(F.lit("Plan "), i.cast("string")).alias("title"))
+    revisited = customers.where(i % 8 == 0).select(F.concat(F.lit("idea:"), i.cast("string")).alias("idea_id"), F.explode(F.array(i + 20, i + 9)).alias("doc_id"))
+    names = F.explode(F.array(F.col("c_mktsegment"), F.concat(F.lit("area "), F.col("c_nationkey").cast("string"))))
+    concepts = customers.where((i % 3 == 0) | (i % 5 == 0)).select(i.alias("input_id"), names.alias("concept"))
+    # small letters come after large ones in both engines
+    concepts = concepts.withColumn("concept", F.when(F.col("concept").startswith("area"), F.col("concept")).otherwise(F.concat(F.lit("b"), "concept")))
+    told = expand.summaries(_verdicts(spark, sf_dir), _ranked(spark, sf_dir, 1), _meta(spark, sf_dir), ideas, expand.current_versions(_links(spark, sf_dir)), revisited, concepts)
+    return told.withColumn("summary", F.regexp_replace("summary", ", b(?=[A-Z]+\\))", ", "))
+
+
+def _part(name: str, row: str, order: str) -> str:
+    return f"(SELECT input_id, string_agg({row}, '|' ORDER BY {order}) AS x FROM ({ORACLES[name]}) GROUP BY input_id)"
+
+
+PARTS = {
+    "people": _part("f4_people", "person || ' ' || round(score, 3) || ' ' || roles", "rank"),
+    "objections": _part("f6_objections", "concern || ' ' || weight || ' ' || from_intent || ' ' || quotes", "rank"),
+    "read_first": _part("f9_reading_list", "doc_id || ' ' || why", "pos"),
+    "venue": _part("f8_venue", "venue || ' ' || doc_id", "doc_id"),
+    "record": _part("f5_track_record", "accepted || '/' || failed || '/' || open", "input_id"),
+    "warnings": _part("f11_non_goal_warnings", "warnings", "input_id"),
+    "closest": _part("f12_closest_with_reasons", "doc_id || ' ' || why || ' ' || superseded_by", "rank"),
+    "said": _part("f10_summaries", "summary", "input_id"),
+}
+
+
+@query("SELECT c_custkey AS input_id, label, confidence, " + ", ".join(f"coalesce({k}.x, '') AS {k}" for k in PARTS) + f" FROM customer LEFT JOIN ({ORACLES['f10_verdicts']}) v ON v.input_id = c_custkey " + " ".join(f"LEFT JOIN {sql} {k} ON {k}.input_id = c_custkey" for k, sql in PARTS.items()))
+def f13_all_parts(spark, sf_dir):
+    """One nested record for each input with all its parts, flattened for comparison."""
+    inputs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_id"))
+    text = lambda *cols: F.concat_ws(" ", *(F.col(c).cast("string") for c in cols))
+
+    def lines(rows, order, *cols):
+        """Each input's rows as lines of text, in order."""
+        found = expand.gathered(rows.select("input_id", F.col(order).alias("_k") if order != "input_id" else F.lit(0).alias("_k"), text(*cols).alias("t")), "x", "_k")
+        return found.select("input_id", F.array_join(F.transform("x", lambda r: r["t"]), "|").alias("x"))
+
+    record = f5_track_record(spark, sf_dir).withColumn("t", F.concat_ws("/", *(F.col(c).cast("string") for c in ("accepted", "failed", "open"))))
+    rows = {
+        "people": lines(f4_people(spark, sf_dir), "rank", "person", "score", "roles"),
+        "objections": lines(f6_objections(spark, sf_dir), "rank", "concern", "weight", "from_intent", "quotes"),
+        "read_first": lines(f9_reading_list(spark, sf_dir), "pos", "doc_id", "why"),
+        "venue": lines(f8_venue(spark, sf_dir), "input_id", "venue", "doc_id"),
+        "record": lines(record, "input_id", "t"),
+        "warnings": lines(f11_non_goal_warnings(spark, sf_dir), "input_id", "warnings"),
+        "closest": lines(f12_closest_with_reasons(spark, sf_dir), "rank", "doc_id", "why", "superseded_by"),
+        "said": lines(f10_summaries(spark, sf_dir), "input_id", "summary"),
+    }
+    parts = {"verdict": _verdicts(spark, sf_dir).select("input_id", F.struct("label", "confidence").alias("verdict"))}
+    parts |= {name: part.withColumnRenamed("x", name) for name, part in rows.items()}
+    out = expand.assembled(inputs, parts)
+    return out.select("input_id", "verdict.label", "verdict.confidence", *(F.coalesce(name, F.lit("")).alias(name) for name in rows))
+
+
 # --------------------------------------------------------------- evaluation
 
 SPLIT = f"""{META}, train AS (SELECT * FROM meta WHERE created < DATE '2000-01-01'), test AS (SELECT * FROM meta WHERE created >= DATE '2000-01-01')"""
