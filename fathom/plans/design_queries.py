@@ -193,6 +193,20 @@ def f7_reported_decisions(spark, sf_dir):
     return expand.reported_decisions(_decisions(spark, sf_dir)[1]).select("doc_id", "status", "rationale")
 
 
+@query(f"""WITH {DOCS}, {IDEAS}, cited AS (SELECT doc_id // 2 AS d FROM documents UNION SELECT doc_id // 3 FROM documents UNION SELECT doc_id // 5 FROM documents UNION SELECT doc_id + 1 FROM documents WHERE doc_id % 7 = 3 UNION SELECT doc_id - 1 FROM documents WHERE doc_id % 7 = 5)
+SELECT 'doc:' || doc_id AS id, 'Document' AS type, title AS label, doc_id, title, status, outcome, true AS in_corpus, 'https://docs.example.org/' || doc_id AS url, NULL AS kind, NULL AS section, NULL AS reason, NULL AS rationale, year(created) AS year FROM said
+UNION ALL SELECT 'doc:' || d, 'Document', '?', NULL, '?', NULL, NULL, false, 'https://docs.example.org/' || d, NULL, NULL, NULL, NULL, NULL FROM (SELECT d FROM cited EXCEPT SELECT doc_id FROM documents)
+UNION ALL SELECT 'decision:' || doc_id, 'Decision', status, doc_id, NULL, status, outcome, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 3 = 1 THEN 'Because ' || source || ' would be too costly for ' || lang || '.' END, NULL FROM said WHERE doc_id % 3 < 2
+UNION ALL SELECT idea_id, 'RejectedIdea', i.title, i.doc_id, i.title, NULL, NULL, NULL, NULL, 'alternative', path, CASE WHEN regexp_matches(i.own, 'rejected|because|However|too') THEN i.own END, NULL, year(DATE '2000-01-01' + (i.doc_id % 9000)::INT) FROM ideas i JOIN laid l ON l.doc_id = i.doc_id AND l.ord = i.ord""")
+def a6_stored_graph(spark, sf_dir):
+    """Nodes with their attributes, of a graph that was built, checked and written by type, and read again."""
+    path = precedents.scratch(spark, "graph")
+    precedents.build(design_documents(spark, sf_dir), LEXICON, path=path)
+    nodes = precedents.Graph.load(spark, path).nodes.where("type in ('Document', 'Decision', 'RejectedIdea')")
+    inside = F.when((F.col("type") == "Document") & ~F.col("in_corpus"), None).otherwise(F.col("doc_id"))
+    return nodes.select("id", "type", "label", inside.alias("doc_id"), "title", "status", "outcome", "in_corpus", "url", "kind", "section", "reason", "rationale", "year")
+
+
 def w1_build_graph(spark, sf_dir):
     """Edges of the whole graph by type, with their mean confidence."""
     g = precedents.build(design_documents(spark, sf_dir), LEXICON)
