@@ -70,13 +70,18 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, only: Iterable[st
             _drop_types(table, name, path, set(only))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_types(table: DataFrame, name: str, path: str, types: set[str]) -> None:
     """Types that have no rows any more: a dynamic overwrite leaves their folders alone."""
     spark = table.sparkSession
     here = {r.type for r in table.select("type").distinct().collect()}  # a row for each type
     for gone in types - here:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/type={gone}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, f"{path}/{name}/type={gone}")
 
 
 def read_graph(spark: SparkSession, path: str, nodes: str | None = None, edges: str | None = None) -> tuple[DataFrame, DataFrame]:
