@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import headers
+from ..functions.text import headers, plain_rule
 
 
 def read_corpus(spark: SparkSession, path: str, id_header: str = "Doc", exclude: DataFrame | None = None) -> DataFrame:
@@ -27,8 +27,8 @@ def without(docs: DataFrame, exclude: DataFrame | None, key: str = "doc_id") ->
 
 
 def select_corpus(docs: DataFrame, pattern: str, allowed: DataFrame | None = None, first: int = 3000, text: str = "raw", key: str = "doc_id") -> DataFrame:
-    """Documents whose first characters match, and those with an id in allowed."""
-    match = F.coalesce(F.substring(text, 1, first).rlike(pattern), F.lit(False))
+    """Documents whose first characters match, and those with an id in allowed. The pattern is read as plain_rule() says."""
+    match = F.coalesce(F.substring(text, 1, first).rlike(plain_rule(pattern)), F.lit(False))
     if allowed is None:
         return docs.where(match)
     marked = docs.join(allowed.select(key).distinct().withColumn("_allowed", F.lit(True)), key, "left")
