@@ -341,7 +341,7 @@ def _links(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, k):
-    scored = _meta(spark, sf_dir).select(F.col("customer").alias("input_id"), "doc_id", F.round(F.col("price") / 600000, 3).alias("score"))
+    scored = _meta(spark, sf_dir).select(F.col("customer").alias("input_id"), "doc_id", retrieval.rounded(F.col("price") / 600000).alias("score"))
     return retrieval.top_k(scored, k, "input_id", [F.desc("score"), F.asc("doc_id")])
 
 
@@ -442,7 +442,7 @@ def _verdicts(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("input_id"), "c_acctbal")
     i = F.col("input_id")
     ranked = _ranked(spark, sf_dir, 1).withColumn("cosine", F.col("doc_id") % 50 / 100).withColumn("concept_score", F.col("doc_id") % 10 / 10)
-    best = customers.where(i % 4 == 0).select("input_id", F.concat(F.lit("idea:"), i.cast("string")).alias("idea_id"), F.round(F.abs("c_acctbal") / 10000, 3).alias("score"), F.lit(1).alias("rank"))
+    best = customers.where(i % 4 == 0).select("input_id", F.concat(F.lit("idea:"), i.cast("string")).alias("idea_id"), retrieval.rounded(F.abs("c_acctbal") / 10000).alias("score"), F.lit(1).alias("rank"))
     return expand.verdicts(customers, ranked, best, _meta(spark, sf_dir), customers.where(i % 3 == 0), customers.where(i % 5 == 0))
 
 
