@@ -398,7 +398,7 @@ def f5_track_record(spark, sf_dir):
     meta = _meta(spark, sf_dir)
     concepts = table(spark, sf_dir, "part").select(F.col("p_type").alias("concept")).distinct()
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("input_id")).join(concepts, F.col("input_id") % 7 == F.char_length("concept") % 7)
-    return expand.track_record(expand.area(asked, _strengths(_lineage(spark, sf_dir))), meta)
+    return expand.area_record(asked, _strengths(_lineage(spark, sf_dir)), meta)
 
 
 @query("""WITH every AS (SELECT user_id AS input_id, event_type AS concern, value / 100 AS w, props AS evidence, 'i' || (event_id % 5) AS origin, 0 AS o FROM events WHERE event_id % 3 = 0
