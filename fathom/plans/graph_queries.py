@@ -281,7 +281,9 @@ def _revisits(spark, sf_dir):
     others = meta.select(F.col("doc_id").alias("other"), "customer")
     near = failed.join(others, "customer").select("idea_id", F.col("other").alias("doc_id"), (0.1 + 0.05 * ((F.col("doc_id") + F.col("other")) % 7)).alias("cosine"))
     cited = meta.select("doc_id", "customer").join(others, "customer").where((F.col("doc_id") + F.col("other")) % 2 == 0).select(F.col("other").alias("src"), F.col("doc_id").alias("dst"))
-    return relations.revisits(relations.revisit_pairs(subjects, focused.where("focus").select("doc_id", "concept"), meta), near, cited)
+    # few concepts, and many orders of each: those of one customer meet first
+    pairs = relations.revisit_pairs(subjects, focused.where("focus").select("doc_id", "concept"), meta, near=near.where("cosine >= 0.15"))
+    return relations.revisits(pairs, near, cited)
 
 
 @query(f"WITH {REVISITS} SELECT idea_id, doc_id, round(cosine, 3) AS cosine, shared, round(least(0.9, 0.4 + cosine), 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY idea_id ORDER BY round(cosine, 9) DESC, doc_id) AS k FROM pairs) WHERE k = 1")
