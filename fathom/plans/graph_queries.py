@@ -606,7 +606,8 @@ def f13_all_parts(spark, sf_dir):
         "said": lines(f10_summaries(spark, sf_dir), "input_id", "summary"),
     }
     parts = {"verdict": _verdicts(spark, sf_dir).select("input_id", F.struct("label", "confidence").alias("verdict"))}
-    parts |= {name: part.withColumnRenamed("x", name) for name, part in rows.items()}
+    # each part is written by itself: one plan of them all would hold the sorts of all at once
+    parts |= {name: expand.cut(part.withColumnRenamed("x", name), name) for name, part in rows.items()}
     out = expand.assembled(inputs, parts)
     return out.select("input_id", "verdict.label", "verdict.confidence", *(F.coalesce(name, F.lit("")).alias(name) for name in rows))
 
